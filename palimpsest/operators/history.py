@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..model import MAX_BINDING, OPERATION, OUTCOME, RECEIPTS
+from ..shipping import on_workers
 
 Pieces = list[tuple[int, int, int]]
 
@@ -189,7 +190,7 @@ def replay(log: DataFrame, digests: bool = True) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return log.select(*names).repartition("history_id").sortWithinPartitions("history_id", "seq").mapInArrow(run, OUTCOME)
+    return on_workers(log).select(*names).repartition("history_id").sortWithinPartitions("history_id", "seq").mapInArrow(run, OUTCOME)
 
 
 def dense_ids(df: DataFrame, seq: str, out: str, buckets: int = 1024) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.history import Replay, replay_rows
+from ..shipping import on_workers
 
 OUT = "history_id long, seq long, op string, outcome string, error string, version_seq long, parent_seq long, len long, sha256 string, digest string"
 NAMES = [f.strip().split(" ")[0] for f in OUT.split(",")]
@@ -41,7 +42,7 @@ def stream_replay(log: DataFrame) -> DataFrame:
             state.update((pickle.dumps((ops[-1]["seq"], own)),))
         yield pd.DataFrame(out, columns=NAMES).astype({k: "Int64" for k in ("history_id", "seq", "version_seq", "parent_seq", "len")})
 
-    return log.select(*COLUMNS).groupBy("history_id").applyInPandasWithState(fold, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return on_workers(log).select(*COLUMNS).groupBy("history_id").applyInPandasWithState(fold, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def suffixes(full: DataFrame, mirrored: DataFrame) -> DataFrame:
