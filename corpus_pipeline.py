@@ -13,7 +13,7 @@ from palimpsest.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those no learned language's code makes shorter than their bytes."""
+    """Drops documents without a letter, and those whose code in every learned language is longer than their bytes."""
     return langid.accept(docs, langid.learn(docs))
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import on_workers
 from .common import text_or_empty
 
 #: Characters of a leaf of the text's tree, bytes of a leaf within one long match, ids of a leaf when decoding.
@@ -166,7 +167,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None) -> Data
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return on_workers(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str | None = None) -> DataFrame:
@@ -180,4 +181,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str | None = None) -> D
                 texts = [own.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int32)) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return on_workers(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

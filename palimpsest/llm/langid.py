@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import on_workers
 from .common import release, staged
 
 ORDER = 3
@@ -76,7 +77,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
                     keys, n = np.unique(_keys(data, order)[own[ORDER:]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([order] * len(keys), pa.int32()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "ord", "key", "n"])
 
-    parts = sample.mapInArrow(run, "lang string, ord int, key long, n long")
+    parts = on_workers(sample).mapInArrow(run, "lang string, ord int, key long, n long")
     return parts.groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
 
 
@@ -237,18 +238,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             cols = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
+    rows = on_workers(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def accept(docs: DataFrame, model: Model | None, most_bits_per_byte: float = 8.0) -> DataFrame:
-    """The rows of docs, whole, whose text is in some learned language: not `und`, and shorter in that language's code
-    than the bytes themselves (most_bits_per_byte)."""
+def accept(docs: DataFrame, model: Model | None, spare_bits: float = 256.0) -> DataFrame:
+    """The rows of docs, whole, whose text is in some learned language: not `und`, and in that language's code no longer
+    than the bytes themselves and spare_bits, which the first letters of a short text may cost."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([lang != "und" and bits < most_bits_per_byte for lang, _, bits in judge(shared.value, batch.column(at).to_pylist())], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([lang != "und" and (bits - 8) * len(text.encode()) <= spare_bits for text, (lang, _, bits) in zip(texts, judge(shared.value, texts))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return on_workers(docs).mapInArrow(run, docs.schema)

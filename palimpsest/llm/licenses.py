@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import on_workers
 from .common import text_or_empty
 
 THRESHOLD = 0.8
@@ -121,5 +122,5 @@ def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataF
                 batch.column(0), pa.array([",".join(sorted(m)) for m in found], pa.string()), pa.array(best, pa.string()),
                 pa.array([m[b] if m else None for m, b in zip(found, best)], pa.float64())], ["doc_id", "licenses", "best_license", "best_dice"])
 
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = on_workers(docs).select("doc_id", text_or_empty().alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, licenses string, best_license string, best_dice double")

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import on_workers
 from .common import text_or_empty
 
 #: Most tokens of the pieces that differencing moves, and least of those that a tail is halved into.
@@ -181,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
+    return on_workers(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
 
 
 def with_crc32(pieces: DataFrame) -> DataFrame:

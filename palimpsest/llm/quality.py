@@ -145,10 +145,17 @@ def _grown(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
                             best, most = Condition(feature, above, threshold), gain
         if not best:
             break
-        rule += (best,)
+        rule += (_centred(rows.filter(holds(rule)), best),)
     return rule
 
 
+def _centred(rows: DataFrame, c: Condition) -> Condition:
+    """The condition with its threshold in the middle of the gap between the rows' values on both sides of it."""
+    f = F.expr(FEATURES[c.feature])
+    got = rows.agg(F.max(F.when(f <= c.threshold, f)).alias("lo"), F.min(F.when(f > c.threshold, f)).alias("hi")).first()
+    return c if got["lo"] is None or got["hi"] is None else Condition(c.feature, c.above, (got["lo"] + got["hi"]) / 2)
+
+
 def _counts(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
     """By feature: bad and good rows between neighbouring thresholds (bin i: above threshold i - 1, up to i)."""
     places = [

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import on_workers
 from .common import bloom_pages, bloom_test, filter_bits, lookup, release, staged, text_or_empty
 
 BITS = 64
@@ -54,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return on_workers(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def blocks(n: int, errors: int) -> int:
@@ -182,7 +183,7 @@ def links(distinct: DataFrame, n: int, errors: int) -> DataFrame:
         if held and sum(map(len, held)):
             yield out(np.concatenate(held))
 
-    return keyed.repartition("t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(run, "a long, b long").distinct()
+    return on_workers(keyed).repartition("t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
