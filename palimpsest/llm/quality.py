@@ -45,14 +45,21 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id", F.size("words").cast("long").alias("n_words"), (F.char_length(F.regexp_replace("pal_text", SPACE_RUN, ""))).cast("long").alias("word_chars"),
         _without(SYMBOLS + "+").alias("n_symbols"), _without("[A-Z]+").alias("n_capitals"), _without("!+").alias("n_bangs"),
         F.filter(F.split("pal_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
-    d = d.withColumn("wins", F.expr(f"if(n_words < {WINDOW}, cast(array() as array<bigint>), transform(sequence(1, cast(n_words as int) - {WINDOW - 1}), i -> xxhash64(slice(h, i, {WINDOW}))))"))
+    # hashes of 2, 4 and 8 neighbours; no lambda reads another array, so that a plan that inlines them stays linear
+    for n in (1, 2, 4):
+        d = d.withColumn("h", F.expr(f"zip_with(h, slice(h, {n + 1}, greatest(size(h) - {n}, 0)), (a, b) -> xxhash64(a, b))"))
+    d = d.withColumn("wins", F.expr(f"slice(h, 1, greatest(size(h) - {WINDOW - 1}, 0))"))
     d = d.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    d = d.withColumn("n_distinct", F.size(F.array_distinct("h")).cast("long")).withColumn("again", F.size(F.array_distinct("wins")) < F.size("wins"))
+    d = d.withColumn("again", F.size(F.array_distinct("wins")) < F.size("wins"))
     d = d.withColumn("ranked", F.expr("if(again, sort_array(transform(wins, (x, i) -> named_struct('h', x, 'i', i))), null)"))
-    d = d.withColumn("at", F.expr("if(again, sort_array(transform(filter(ranked, (x, i) -> coalesce(get(ranked, i - 1).h = x.h, false) or coalesce(get(ranked, i + 1).h = x.h, false)), x -> x.i)), null)"))
-    covered = f"if(again, aggregate(transform(at, (p, i) -> least({WINDOW}, coalesce(get(at, i + 1) - p, {WINDOW}))), 0L, (s, x) -> s + x), 0L)"
+    d = d.withColumn("equal", F.expr("if(again, zip_with(ranked, slice(ranked, 2, size(ranked)), (a, b) -> coalesce(a.h = b.h, false)), null)"))
+    d = d.withColumn("hit", F.expr("if(again, zip_with(equal, concat(array(false), equal), (next, last) -> coalesce(next, false) or last), null)"))
+    d = d.withColumn("at", F.expr("if(again, sort_array(filter(zip_with(ranked, hit, (r, f) -> if(f, r.i, null)), x -> x is not null)), null)"))
+    covered = (
+        f"if(again, aggregate(at, named_struct('last', -{WINDOW}, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least({WINDOW}, p - a.last)), a -> a.n), 0L)"
+    )
     return d.withColumn("n_repeat_words", F.expr(covered)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_distinct")
 
 
