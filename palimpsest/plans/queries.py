@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import canon, stats
-from ..operators import checkpoints, corpus, forest, history
+from ..operators import checkpoints, compaction, corpus, evidence, forest, history
 from ..scratch import written
 from ..sources import jsonl, metrics
 
@@ -553,3 +553,115 @@ def receipt_status(spark, sf_dir):
     r = table(spark, sf_dir, "events").groupBy(F.concat_ws("-", "event_type", "user_id").alias("request_id")).agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
     receipts = r.filter("a % 3 <> 0").select("request_id", F.when(F.col("b") % 2 == 0, "Active").otherwise("Retired").alias("state"))
     return history.receipt_status(receipts, r.select("request_id"))
+
+
+# Compaction, layouts, evidence ----------------------------------------------------------------------------------------------------------
+
+
+@query(nodes_sql() + ", up AS (SELECT thread, node, parent FROM nodes WHERE event_id % 5 = 0 UNION SELECT n.thread, n.node, n.parent FROM nodes n JOIN up u ON n.thread = u.thread AND n.node = u.parent) SELECT thread, node, parent FROM up")
+def compact_with_ancestry(spark, sf_dir):
+    """Versions that live checkpoints need when ancestry is kept."""
+    n = nodes(spark, sf_dir)
+    return compaction.keep_ancestry(n, n.filter("event_id % 5 = 0")).select("thread", "node", "parent")
+
+
+@query(nodes_sql() + "SELECT n.thread, n.node, p.node AS parent FROM nodes n LEFT JOIN nodes p ON p.thread = n.thread AND p.node = n.parent AND p.event_id % 5 = 0 WHERE n.event_id % 5 = 0")
+def compact_referenced(spark, sf_dir):
+    """Versions that live checkpoints reference directly; lost parents become null."""
+    n = nodes(spark, sf_dir)
+    return compaction.keep_referenced(n, n.filter("event_id % 5 = 0")).select("thread", "node", "parent")
+
+
+@query(OPS + "SELECT h AS history_id, count(DISTINCT seq) AS leaves FROM (SELECT h, unnest(src) AS seq FROM ver WHERE rn % 2 = 1) GROUP BY h")
+def image_export(spark, sf_dir):
+    """Leaves in an image of some roots."""
+    v = written(_versions(spark, sf_dir))
+    roots = operations(spark, sf_dir).withColumn("rn", F.row_number().over(W.partitionBy("history_id").orderBy("seq")) - 1).filter("rn % 2 = 1").select("history_id", "seq")
+    _, used = compaction.export_image(v, _leaves(spark, sf_dir, v), roots)
+    return used.groupBy("history_id").agg(F.count(F.lit(1)).alias("leaves"))
+
+
+@query(OPS + "SELECT CAST(count(*) FILTER (WHERE false) AS BIGINT) AS faults FROM v")
+def version_verify(spark, sf_dir):
+    """Structural faults of all versions: none."""
+    v = written(_versions(spark, sf_dir))
+    return compaction.image_faults(v, _leaves(spark, sf_dir, v)).agg(F.count(F.lit(1)).alias("faults"))
+
+
+@query(CHAINS + """, ext AS (SELECT thread_id, checkpoint_no, strlen(message) + CASE WHEN checkpoint_no = 0 THEN 13 ELSE 1 END + CASE WHEN checkpoint_no = max(checkpoint_no) OVER (PARTITION BY thread_id) THEN 2 ELSE 0 END AS len FROM msg),
+seg AS (SELECT thread_id, checkpoint_no, sum(len) OVER (PARTITION BY thread_id ORDER BY checkpoint_no) - len AS st, len FROM ext)
+SELECT thread_id, checkpoint_no AS ord FROM seg WHERE 150 >= st AND 150 < st + len""")
+def covering_segment(spark, sf_dir):
+    """The message that byte 150 of each state lies in."""
+    rows = chains(spark, sf_dir)
+    return compaction.covering_segment(rows.select("thread_id").distinct(), checkpoints.extents(rows, KEYS, "checkpoint_no").withColumnRenamed("ord", "checkpoint_no").drop("payload"), KEYS, F.lit(150)).join(
+        checkpoints.extents(rows, KEYS, "checkpoint_no").select("thread_id", "ord", F.col("st").alias("seg_st")), ["thread_id", "seg_st"]).select("thread_id", "ord")
+
+
+@query(CHAINS + """, cas AS (SELECT thread_id, CAST(sum(strlen(message)) AS BIGINT) AS cas_bytes FROM (SELECT DISTINCT thread_id, message FROM msg) GROUP BY 1)
+SELECT thread_id, CAST(sum(strlen(state)) AS BIGINT) AS snapshot_bytes, CAST(sum(strlen(message)) AS BIGINT) AS delta_bytes, any_value(cas_bytes) AS cas_bytes,
+  CAST(sum(strlen(state)) AS DOUBLE) / sum(strlen(message)) AS snapshot_over_delta, CAST(sum(strlen(state)) AS DOUBLE) / any_value(cas_bytes) AS snapshot_over_cas FROM st JOIN cas USING (thread_id) GROUP BY thread_id""")
+def storage_layouts(spark, sf_dir):
+    return evidence.layouts(chains(spark, sf_dir), KEYS, "checkpoint_no")
+
+
+@query("SELECT o_orderkey AS id, 'b' || (o_orderkey % 3) AS backend, o_orderkey % 2 = 0 AS pass, CASE WHEN o_orderkey % 5 > 0 THEN 1000 + o_orderkey - 10 END AS marginal_bytes, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey ELSE 77 END AS read_p50_ns FROM orders")
+def evidence_projection(spark, sf_dir):
+    """Nested run reports, cut to flat records."""
+    k = F.col("o_orderkey").cast("string")
+    read = F.when(F.col("o_orderkey") % 7 > 0, F.concat(F.lit('"reopened":{"read_latency":{"p50_ns":'), k, F.lit("}},"))).otherwise("")
+    empty = F.when(F.col("o_orderkey") % 5 > 0, F.lit(',"empty":{"allocated_bytes":10}')).otherwise("")
+    doc = F.concat(
+        F.lit('{"result":{"backend":"b'), (F.col("o_orderkey") % 3).cast("string"), F.lit('","pass":'), (F.col("o_orderkey") % 2 == 0).cast("string"), F.lit(',"storage":{"reopened":{"allocated_bytes":'), (F.col("o_orderkey") + 1000).cast("string"), F.lit("}"), empty,
+        F.lit('},"exactness":{'), read, F.lit('"reopened_after_aggressive_pack":{"read_latency":{"p50_ns":77}}}}}'))
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evidence.arm_record(doc).alias("r"))
+    return r.select("id", "r.backend", "r.pass", "r.marginal_bytes", "r.read_p50_ns")
+
+
+@query("SELECT conv_id AS thread_id, count(*) + count(*) FILTER (WHERE role = 'user') AS n, sha256(string_agg(CASE WHEN role = 'user' THEN text || '|' || role ELSE text END, '|' ORDER BY turn)) AS value_sha256 FROM conversations GROUP BY conv_id")
+def delta_reducer(spark, sf_dir):
+    """A list channel from batches of one or two values."""
+    b = chains(spark, sf_dir).select("thread_id", "checkpoint_no", F.when(F.col("role") == "user", F.array("text", "role")).otherwise(F.array("text")).alias("batch"))
+    return evidence.reduced(b, KEYS, "checkpoint_no").select("thread_id", F.size("value").cast("long").alias("n"), F.sha2(F.array_join("value", "|"), 256).alias("value_sha256"))
+
+
+@query("SELECT 'm' || (event_id // 2) AS logical_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+def recover_configs(spark, sf_dir):
+    """Checkpoints recovered by their metadata."""
+    meta = F.concat(F.lit('{"source":"'), F.when(F.col("event_id") % 3 == 0, "loop").otherwise("input"), F.lit('","canonical_checkpoint_id":"m'), F.expr("cast(event_id div 2 as string)"), F.lit('"}'))
+    rows, _ = evidence.recovered(table(spark, sf_dir, "events").select(meta.alias("metadata"), F.col("event_id").alias("config")))
+    return rows.groupBy("logical_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id AS mark, md5(CAST(event_id AS VARCHAR)) AS object_id FROM events WHERE event_id % 4 <> 0")
+def mark_lookup(spark, sf_dir):
+    """Marks of an import and the objects they became."""
+    e = F.col("event_id").cast("string")
+    lines = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("# "), e)).otherwise(F.concat(F.lit(":"), e, F.lit(" "), F.md5(e.cast("binary")))).alias("value"))
+    return evidence.parsed_marks(lines)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id ELSE sha256('r0' || chr(0) || event_type || chr(0) || event_id) END AS attempt_id FROM events")
+def attempt_ids(spark, sf_dir):
+    """Natural attempt ids, and digests of where a row stands."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("instance_id"), "event_type", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("n"), "event_id")).otherwise("").alias("natural"))
+    return corpus.attempt_ids(e, "natural", REVISION, "event_type", "event_id").select("event_id", "attempt_id")
+
+
+@query("SELECT user_id AS history_id, event_type AS binding, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def binding_uniqueness(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("history_id"), F.col("event_type").alias("binding"))
+    return evidence.repeated_bindings(e)
+
+
+@query("SELECT true AS all_exact, false AS counts_equal")
+def backend_agreement(spark, sf_dir):
+    """Arms that are exact but count differently."""
+    a = table(spark, sf_dir, "region").select(F.col("r_name").alias("backend"), F.lit(True).alias("exact"), F.when(F.col("r_regionkey") < 4, 10).otherwise(11).alias("checkpoints"), F.lit(3).alias("attempts"))
+    return evidence.agreement(a)
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 404 WHEN 2 THEN 413 ELSE 500 END AS read_status, CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 404 WHEN 2 THEN 413 ELSE 500 END AS append_status FROM events")
+def error_status(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ["NotFound", "Deleted", "TooLarge", "Other"])), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", evidence.http_status(kind).alias("read_status"), evidence.http_status(kind, True).alias("append_status"))

@@ -114,6 +114,18 @@ class Store:
         dense_ids(written(self.rows().withColumnRenamed("seq", "old")), "old", "seq").drop("old").select(*[f.split(" ")[0] for f in ROW.split(", ")]).sort("thread_id", "seq").write.parquet(f"{self.path}/generation-{g}")
         return g
 
+    def store_id(self) -> str:
+        """The store's identity; made on first use."""
+        ids = self._there("identity-*")
+        return ids[-1].split("-")[-1] if ids else self.reidentify()
+
+    def reidentify(self) -> str:
+        """A new identity, for a store that was copied."""
+        new = uuid.uuid4().hex
+        number = len(self._there("identity-*"))
+        self.spark.range(1).write.parquet(f"{self.path}/identity-{number:06d}-{new}")
+        return new
+
     def reclaim(self) -> list[str]:
         """Deletes tables that no generation needs any more; their names."""
         g = self.generation()
