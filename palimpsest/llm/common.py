@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Keys that hold more than one part in so many of all rows are looked up by broadcast: there are at most so many.
 HEAVY_KEYS = 1000
+SMALL_BYTES = 4 << 20
 #: Bits of one page of the blocked Bloom filter, as bitmap_construct_agg() makes them.
 PAGE_BITS = 32768
 #: The whole filter takes this many bits at most (32 MB), so that it may be broadcast at any input size.
@@ -62,6 +63,14 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -
     return left.join(heavy, key).unionByName(left.join(heavy, key, "left_anti").join(light, key))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table, dealt out to all cores if it has less than SMALL_BYTES for each: its row groups may lie in one
+    split. Larger tables stay as their splits are, so that no text is shuffled. Rows are the same either way."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if size < SMALL_BYTES * cores else table
+
+
 def filter_bits(n: int) -> int:
     """Bits of a filter for n rows: 16 a row and a power of two, within the bound."""
     bits = PAGE_BITS
