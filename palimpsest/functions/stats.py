@@ -1,7 +1,7 @@
 """The four percentile definitions, which differ, and guarded ratios.
 
-Values are counted before they are gathered: a group's list holds one entry per distinct value, so that repeated
-values cost nothing and the exact rank is read off a running count.
+Values are counted before they are ordered, so that repeated values cost nothing, and exact ranks are read off running
+counts.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+BUCKETS = 4096
+
+
 def nearest(n: Column, f: float) -> Column:
     """Rank (from 0) of the nearest index, halves to even."""
     return F.bround(F.lit(f) * (n - 1)).cast("long")
@@ -25,13 +28,21 @@ def shadow_index(n: Column, f: float) -> Column:
 
 
 def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, object]) -> DataFrame:
-    """By keys: n, and for each name the value at the rank (from 0) that ranks[name](n) gives.
+    """By keys: n, and for each name the numeric value at the rank (from 0) that ranks[name](n) gives.
 
-    One shuffle counts distinct values, with map-side combining; ranks come from running counts over those."""
+    One shuffle counts distinct values, with map-side combining. Counts by BUCKETS equal slices of a key's range of values
+    tell which slices hold a wanted rank; only their values are ordered, so no task sorts all values of a hot key."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    upto = counted.withColumn("hi", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    inside = lambda r: (r >= F.col("hi") - F.col("c")) & (r < F.col("hi"))
+    whole = counted.groupBy(*keys).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.sum("c").alias("n"))
+    wanted = whole.select(*keys, "lo_", "hi_", "n", F.array(*[rank(F.col("n")).cast("long") for rank in ranks.values()]).alias("at_"))
+    placed = (counted.join(wanted, keys) if keys else counted.join(F.broadcast(wanted))).withColumn(  # without keys, one row
+        "slice_", F.when(F.col("hi_") > F.col("lo_"), F.floor((F.col(value) - F.col("lo_")) * (BUCKETS - 1) / (F.col("hi_") - F.col("lo_")))).otherwise(0))
+    slices = placed.groupBy(*keys, "slice_").agg(F.sum("c").alias("in_"))
+    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # at most BUCKETS rows a key
+    slices = slices.withColumn("before_", F.sum("in_").over(over.orderBy("slice_").rowsBetween(W.unboundedPreceding, 0)) - F.col("in_"))
+    some = placed.join(slices, [*keys, "slice_"]).filter(F.exists("at_", lambda r: (r >= F.col("before_")) & (r < F.col("before_") + F.col("in_"))))
+    upto = some.withColumn("last_", F.col("before_") + F.sum("c").over(W.partitionBy(*keys, "slice_").orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    inside = lambda r: (r >= F.col("last_") - F.col("c")) & (r < F.col("last_"))
     return upto.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(inside(rank(F.col("n"))), F.col(value))).alias(name) for name, rank in ranks.items()])
 
 

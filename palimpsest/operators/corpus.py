@@ -99,7 +99,8 @@ def trie_stats(nodes: DataFrame) -> DataFrame:
 def common_prefix(attempts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(instance_id, common_prefix): depth to which all attempts of an instance agree."""
     n = attempts.groupBy("instance_id").agg(F.count(F.lit(1)).alias("attempts"))
-    return n.join(nodes, "instance_id", "left").groupBy("instance_id").agg(F.coalesce(F.max(F.when(F.col("observations") == F.col("attempts"), F.col("depth"))), F.lit(0)).cast("long").alias("common_prefix"))
+    deepest = nodes.groupBy("instance_id", "observations").agg(F.max("depth").alias("depth"))  # few rows an instance
+    return n.join(deepest, "instance_id", "left").groupBy("instance_id").agg(F.coalesce(F.max(F.when(F.col("observations") == F.col("attempts"), F.col("depth"))), F.lit(0)).cast("long").alias("common_prefix"))
 
 
 def fanout_thresholds(profiles: DataFrame) -> DataFrame:
