@@ -28,7 +28,8 @@ ORDER = 3
 #: MAX_LANGUAGES most frequent ones, and keeps the MAX_GRAMS most frequent byte strings of each length.
 DOCS_A_LANGUAGE, MAX_LANGUAGES, MAX_GRAMS = 1500, 64, 400_000
 #: Bytes scored at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+ROWS_AT_ONCE = 256
 PAD = b"\0" * ORDER
 
 
@@ -58,11 +59,18 @@ def _keys(data: np.ndarray, order: int, start: int = ORDER) -> np.ndarray:
     return key
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS_AT_ONCE rows, so that what a task holds of them doesn't follow Arrow's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def gram_counts(sample: DataFrame) -> DataFrame:
     """(lang, ord, key, n) of all byte strings of 1 to ORDER + 1 bytes, counted by task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 by_lang.setdefault(lang, []).append(text.as_py().encode())
@@ -233,7 +241,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = judge(shared.value, batch.column(2).to_pylist())
             cols = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
@@ -249,7 +257,7 @@ def accept(docs: DataFrame, model: Model | None, spare_bits: float = 256.0) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([lang != "und" and (bits - 8) * len(text.encode()) <= spare_bits for text, (lang, _, bits) in zip(texts, judge(shared.value, texts))], pa.bool_()))
 
