@@ -19,6 +19,9 @@ PIECE = T.StructType([T.StructField("leaf", L), T.StructField("off", L), T.Struc
 OUTCOME = _schema(
     ("history_id", L, False), ("seq", L, False), ("op", S, False), ("outcome", S, False), ("error", S, True), ("version_seq", L, True),
     ("parent_seq", L, True), ("len", L, True), ("sha256", S, True), ("digest", S, True), ("pieces", T.ArrayType(PIECE), True))
+#: One step of a fold: phase 0 restores a snapshot (last, create, version, leaf, receipt), 1 are operations whose outcomes are
+#: known, 2 new ones.
+STEP = T.StructType([T.StructField("phase", T.IntegerType(), False), *OPERATION, T.StructField("digest", S), T.StructField("len", L), T.StructField("pieces", T.ArrayType(PIECE))])
 TOMBSTONE = _schema(("thread_id", S, False), ("checkpoint_id", S, False))
 #: Raw trajectories of two sources, as parsed from JSON.
 SWE_MESSAGE = T.ArrayType(T.StructType([T.StructField(n, S) for n in ("role", "text", "system_prompt")]))

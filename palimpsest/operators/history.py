@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..model import MAX_BINDING, OPERATION, OUTCOME, RECEIPTS
+from ..model import MAX_BINDING, OPERATION, OUTCOME, RECEIPTS, STEP
 from ..shipping import on_workers
 
 Pieces = list[tuple[int, int, int]]
@@ -46,16 +46,60 @@ class Replay:
         self.versions: dict[int, tuple[Pieces, int, int | None]] = {}
         self.leaves: dict[int, bytes] = {}
         self.expired: set[int] = set()
-        self.bindings: set[bytes] = set()
+        self.bindings: dict[bytes, int] = {}
         self.active: dict[bytes, tuple[str, int]] = {}
         self.retired: dict[bytes, str] = {}
         self.fresh: list[bytes] = []
         self.created = False
+        self.last = -1
 
     def content(self, version: int) -> bytes:
         return b"".join(self.leaves[leaf][off : off + n] for leaf, off, n in self.versions[version][0])
 
+    def snapshot(self) -> Iterator[dict]:
+        """Steps that restore this state: an expired version keeps its place but no pieces, and leaves that no retained
+        version shows are dropped."""
+        step = lambda kind, seq, **more: dict.fromkeys(STEP.fieldNames()) | {"phase": 0, "history_id": self.history, "op": kind, "seq": seq} | more
+        yield step("last", self.last)
+        if self.created:
+            yield step("create", 0)
+        of = {v: b for b, v in self.bindings.items()}
+        shown = set()
+        for seq, (pieces, size, parent) in self.versions.items():
+            gone = seq in self.expired
+            shown.update(() if gone else (leaf for leaf, _, _ in pieces))
+            yield step("version", seq, parent_seq=parent, len=size, binding=of.get(seq), pieces=None if gone else [{"leaf": a, "off": b, "len": n} for a, b, n in pieces])
+        for leaf in sorted(shown):
+            yield step("leaf", leaf, insert=self.leaves[leaf])
+        for place, request in enumerate(self.fresh):
+            digest, version = self.active.get(request) or (self.retired[request], None)
+            yield step("receipt", place, request_id=request, digest=digest, target_seq=version)
+
+    def restore(self, step: dict) -> None:
+        """Takes one step of a snapshot; receipts must come in their order."""
+        kind, seq = step["op"], step["seq"]
+        if kind == "last":
+            self.last = seq
+        elif kind == "create":
+            self.created = True
+        elif kind == "version":
+            pieces = step["pieces"]
+            if pieces is None:
+                self.expired.add(seq)
+            self.versions[seq] = [(p["leaf"], p["off"], p["len"]) for p in pieces or ()], step["len"], step["parent_seq"]
+            if step["binding"] is not None:
+                self.bindings[step["binding"]] = seq
+        elif kind == "leaf":
+            self.leaves[seq] = step["insert"]
+        elif kind == "receipt":
+            self.fresh.append(step["request_id"])
+            if step["target_seq"] is None:
+                self.retired[step["request_id"]] = step["digest"]
+            else:
+                self.active[step["request_id"]] = step["digest"], step["target_seq"]
+
     def apply(self, op: dict) -> dict:
+        self.last = op["seq"]
         try:
             return self._apply(op)
         except _Refused as e:
@@ -127,7 +171,7 @@ class Replay:
         if binding is not None:
             if binding in self.bindings:
                 raise _Refused("DuplicateBinding")
-            self.bindings.add(binding)
+            self.bindings[binding] = op["seq"]
         seq = op["seq"]
         if kind == "fork":
             pieces = self.versions[parent][0]
@@ -172,25 +216,61 @@ def replay_rows(state: Replay, rows: Iterator[dict], digests: bool = True) -> It
             "pieces": [{"leaf": a, "off": b, "len": n} for a, b, n in pieces] if made else None}
 
 
-def replay(log: DataFrame, digests: bool = True) -> DataFrame:
-    """The outcome of every operation (OUTCOME), by history in order of seq.
+def _arrow(schema) -> pa.Schema:
+    pieces = pa.list_(pa.struct([("leaf", pa.int64()), ("off", pa.int64()), ("len", pa.int64())]))
+    simple = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(f.name, simple.get(f.dataType.simpleString(), pieces)) for f in schema])
 
-    A task streams its histories in sorted order and keeps one history's versions at a time, as pieces."""
-    names = OPERATION.fieldNames()
-    schema = pa.schema([(f, t) for f, t in [("history_id", pa.int64()), ("seq", pa.int64()), ("op", pa.string()), ("outcome", pa.string()), ("error", pa.string()), ("version_seq", pa.int64()), ("parent_seq", pa.int64()), ("len", pa.int64()), ("sha256", pa.string()), ("digest", pa.string()), ("pieces", pa.list_(pa.struct([("leaf", pa.int64()), ("off", pa.int64()), ("len", pa.int64())])))]])
+
+def as_steps(log: DataFrame, phase: int = 1) -> DataFrame:
+    """Operations as steps that come behind a snapshot's."""
+    return log.select(*[F.col(n) if n in OPERATION.fieldNames() else F.lit(phase if n == "phase" else None).cast(f.dataType).alias(n) for n, f in ((f.name, f) for f in STEP)])
+
+
+def _fold(steps: DataFrame, digests: bool, out: str) -> DataFrame:
+    schema = STEP if out == "snapshot" else OUTCOME
+    arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: Replay | None = None
         for batch in batches:
-            out = []
-            for op in batch.to_pylist():
-                if state is None or state.history != op["history_id"]:
-                    state = Replay(op["history_id"])
-                out.extend(replay_rows(state, iter([op]), digests))
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return on_workers(log).select(*names).repartition("history_id").sortWithinPartitions("history_id", "seq").mapInArrow(run, OUTCOME)
+            rows: list[dict] = []
+            for step in batch.to_pylist():
+                if state is None or state.history != step["history_id"]:
+                    if state is not None and out == "snapshot":
+                        rows.extend(state.snapshot())
+                    state = Replay(step["history_id"])
+                if step["phase"] == 0:
+                    state.restore(step)
+                elif out == "snapshot":
+                    state.apply(step)
+                elif step["phase"] == 1:
+                    state.apply(step)
+                else:
+                    rows.extend(replay_rows(state, iter([step]), digests))
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        if state is not None and out == "snapshot":
+            yield pa.RecordBatch.from_pylist(list(state.snapshot()), schema=arrow)
+
+    return on_workers(steps).repartition("history_id").sortWithinPartitions("history_id", "phase", "seq").mapInArrow(run, schema)
+
+
+def replay(log: DataFrame, digests: bool = True) -> DataFrame:
+    """The outcome of every operation (OUTCOME), by history in order of seq.
+
+    A task streams its histories in sorted order and keeps one history's versions at a time, as pieces."""
+    return _fold(as_steps(log, 2), digests, "outcomes")
+
+
+def resume(steps: DataFrame, log: DataFrame, digests: bool = True) -> DataFrame:
+    """The outcomes of log's operations behind steps (a snapshot's, and operations since): what a replay of all would give."""
+    return _fold(steps.unionByName(as_steps(log, 2)), digests, "outcomes")
+
+
+def snapshot(steps: DataFrame) -> DataFrame:
+    """Steps that restore what steps lead to, without the bytes that only expired versions show."""
+    return _fold(steps, False, "snapshot")
 
 
 def dense_ids(df: DataFrame, seq: str, out: str, buckets: int = 1024) -> DataFrame:

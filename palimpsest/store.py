@@ -160,6 +160,14 @@ class Store:
             raise StoreError(self.status(thread_id, checkpoint_id), f"{thread_id}/{checkpoint_id}")
         return found["state"]
 
+    def messages(self, thread_id: str, checkpoint_id: str) -> list[str]:
+        """A checkpoint's messages from its root on, as they were appended."""
+        way = forest.fold_to_root(self._nodes(self.rows().filter(F.col("thread_id") == thread_id)), F.col("messages"), lambda a, b: F.concat(a, b))
+        found = way.filter(F.col("node") == checkpoint_id).first()
+        if not found:
+            raise StoreError(self.status(thread_id, checkpoint_id), f"{thread_id}/{checkpoint_id}")
+        return found["value"]
+
     def read_range(self, thread_id: str, checkpoint_id: str, offset: int, length: int) -> bytes:
         state = self.get(thread_id, checkpoint_id).encode()
         if offset < 0 or length < 0 or offset + length > len(state):

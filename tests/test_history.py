@@ -72,15 +72,21 @@ def test_append_is_splice_and_fork_is_parent():
 
 
 def random_log(seed, n=120, histories=4):
+    """Operations of which most commit: parents are mostly versions that were made before."""
     rng, out = random.Random(seed), []
     for h in range(histories):
+        state = Replay(h)
         out.append(op(h * 1000, "create", history_id=h))
+        state.apply(out[-1])
         for i in range(1, n):
-            seq, parent = h * 1000 + i, h * 1000 + rng.randint(max(0, i - 6), i)
-            kind = rng.choice(["splice", "append", "fork", "expire", "retire"])
-            more = {"parent_seq": None if i < 3 else parent, "offset": rng.randint(0, 4) if i > 3 else 0, "delete_len": rng.randint(0, 2) if i > 3 else 0, "insert": rng.choice([b"", b"ab", b"\xff\x00", b"long" * 3]),
-                    "request_id": rng.choice([None, b"%d" % rng.randint(0, 9)]), "target": b"%d" % rng.randint(0, 9), "target_seq": parent, "binding": rng.choice([None, None, b"b%d" % i])}
-            out.append(op(seq, kind, history_id=h, **more))
+            made = [*state.versions][-8:]
+            parent = rng.choice(made) if made and rng.random() < 0.9 else None if rng.random() < 0.7 else h * 1000 + i - 1
+            kind = rng.choice(["splice"] * 4 + ["append"] * 3 + ["fork", "expire", "retire"])
+            more = {"parent_seq": parent, "offset": rng.randint(0, 4) if parent else 0, "delete_len": rng.randint(0, 2) if parent else 0, "insert": rng.choice([b"", b"ab", b"\xff\x00", b"long" * 3]),
+                    "request_id": rng.choice([None, b"%d" % rng.randint(0, 9)]), "target": b"%d" % rng.randint(0, 9), "target_seq": parent if parent is not None else 7, "binding": rng.choice([None, None, b"b%d" % i])}
+            out.append(op(h * 1000 + i, kind, history_id=h, **more))
+            state.apply(out[-1])
+        assert len(state.versions) > n // 6 and state.expired and state.fresh
     return out
 
 
@@ -117,3 +123,61 @@ def test_ledger_faults(spark):
     versions = spark.createDataFrame([(1, True), (2, False)], "seq long, retained boolean")
     got = {tuple(r) for r in history.ledger_faults(active, ids("b", "c"), ids("a", "b", "b", "d"), versions).collect()}
     assert got == {("InBothLedgers", "b"), ("NotInOrder", "c"), ("NotInLedgers", "d"), ("Repeated", "b"), ("NotRetained", "b")}
+
+
+def frame(spark, ops):
+    return spark.createDataFrame([tuple(o[f] for f in OPERATION.fieldNames()) for o in ops], OPERATION)
+
+
+def test_store_resumes_like_a_full_replay(spark, tmp_path):
+    """Batches, a redelivered one and seals between them change no outcome; bytes that only expired versions show go."""
+    from palimpsest.authority import HistoryStore
+
+    log, store = random_log(2, 90, 3), HistoryStore(spark, f"file://{tmp_path}/h")
+    want = {r["seq"]: r.asDict(True) for r in history.replay(frame(spark, log)).collect()}
+    batches = [[o for o in log if lo <= o["seq"] % 1000 < hi] for lo, hi in ((0, 30), (30, 60), (60, 90))]
+    got = {}
+    for i, b in enumerate(batches):
+        for r in store.apply(frame(spark, b)).collect():
+            got[r["seq"]] = r.asDict(True)
+        if i == 0:
+            assert store.apply(frame(spark, b)).isEmpty()
+        if i == 1:  # a batch that comes again finds its places taken, sealed or not
+            assert store.seal() == 1 and store.stats()["suffix_operations"] == 0 and store.apply(frame(spark, b)).isEmpty()
+    assert got == want
+    tail = [op(80_000 + i, "splice", history_id=i, insert=b"kept") for i in range(3)]
+    assert {r["outcome"] for r in store.apply(frame(spark, tail)).collect()} == {"Committed"}
+    states = {h: Replay(h) for h in range(3)}
+    for o in log + tail:
+        states[o["history_id"]].apply(o)
+    for sealed in (False, True):
+        if sealed:
+            gone = store.collect_garbage()
+            assert gone["bytes_reclaimed"] > 0 and gone["bytes_after"] == sum(len(s.leaves[x]) for s in states.values() for x in {p[0] for v, d in s.versions.items() if v not in s.expired for p in d[0]})
+        assert {(r["history_id"], r["seq"]): (r["len"], r["retained"]) for r in store.versions().collect()} == {(h, v): (d[1], v not in s.expired) for h, s in states.items() for v, d in s.versions.items()}
+        assert store.verify()["failures"] == 0
+        assert {(r["history_id"], bytes(r["request_id"]), r["state"]) for r in store.receipts().collect()} == {(h, q, "Active" if q in s.active else "Retired") for h, s in states.items() for q in s.fresh}
+        h, v = next((h, v) for h, s in states.items() for v in s.versions if v not in s.expired)
+        assert store.content(h, v) == states[h].content(v)
+
+
+def test_store_by_single_operations(spark, tmp_path):
+    from palimpsest.authority import HistoryStore
+
+    store = HistoryStore(spark, f"file://{tmp_path}/one")
+    h = store.create_history(b"thread")
+    assert (h, store.create_history(b"thread"), store.create_history()) == (0, 0, 1)
+    root = store.splice(h, None, 0, 0, b"hello", request_id=b"r")
+    child = store.append(h, root["seq"], b" world", binding=b"v")
+    twin = store.fork(h, child["seq"])
+    assert store.content(h, twin["seq"]) == b"hello world" and twin["outcome"] == "Forked"
+    assert store.expire(h, root["seq"])["outcome"] == "Expired"
+    store.seal()
+    assert store.splice(h, None, 0, 0, b"hello", request_id=b"r")["outcome"] == "Retired" and store.receipt_status(h, b"r") == "Retired"
+    assert store.append(h, root["seq"], b"!")["error"] == "VersionExpired" and store.create_history(b"thread") == 0
+    assert store.append(h, child["seq"], b"!", binding=b"v")["error"] == "DuplicateBinding" and store.receipt_status(h, b"x") == "Unknown"
+    try:
+        store.content(h, root["seq"])
+        raise AssertionError("expired")
+    except ValueError as e:
+        assert str(e) == "VersionExpired"
