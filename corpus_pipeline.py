@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, langid, packing, secrets, simhash
+from palimpsest.llm import exact_dedup, langid, packing, resemblance, secrets
 from palimpsest.llm.common import staged
 from palimpsest.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of near-duplicates."""
-    return simhash.deduplicate(docs)
+    """Keeps the document with the smallest doc_id of each component of documents alike in 0.8 of their runs of five words."""
+    return resemblance.deduplicate(docs, words=5, similarity=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

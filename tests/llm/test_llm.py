@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, queries, secrets, sharding, simhash
+from palimpsest.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, queries, resemblance, secrets, sharding, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, keep_id int, lang_pred string, pal_other string"
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -263,6 +263,68 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {100: 99}
 
 
+def shingled(text, words=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def groups_alike(texts, similarity=0.8):
+    """Components of positions whose texts' shingle sets reach the similarity, or whose fingerprints link."""
+    sets, fps, label = [shingled(t) for t in texts], [slow_fingerprint(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9 or bin(fps[i] ^ fps[j]).count("1") <= 4:
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+def edited(rng, words, similarity):
+    """A copy with words exchanged until its shingles are just about as alike as that."""
+    out = list(words)
+    for at in rng.sample(range(len(words)), len(words)):
+        following = [*out[:at], f"new{rng.random()}", *out[at + 1 :]]
+        a, b = shingled(" ".join(words)), shingled(" ".join(following))
+        if len(a & b) < similarity * len(a | b):
+            return out
+        out = following
+    return out
+
+
+def test_resemblance(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows, passage = [], [word() for _ in range(60)]
+    for i in range(60):
+        own = [word() for _ in range(rng.randint(60, 400))]
+        rows += [own, edited(rng, own, 0.8 + 0.15 * i / 59)]
+        rows.append(edited(rng, own, 0.6))  # no near copy by itself
+        rows.append(passage + [word() for _ in range(25)])  # a common passage makes no copy
+    rows += [edited(rng, passage * 3, 0.85) for _ in range(40)]
+    texts = [" ".join(r) for r in rows]
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(i, texts[at], "en") for i, at in enumerate(order)], "doc_id long, text string, lang string").repartition(3)
+    label = groups_alike(texts)
+    least = {}
+    for i, at in enumerate(order):
+        least[label[at]] = min(least.get(label[at], i), i)
+    stay = corpus_pipeline.near_deduplicate(spark, docs, "")
+    assert stay.columns == docs.columns
+    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(least.values())
+    assert 150 < len(least) < len(texts) - 60
+
+
+def test_resemblance_in_blocks(spark, monkeypatch):
+    """Cells smaller than the groups find the same links."""
+    rng = random.Random(3)
+    monkeypatch.setattr(resemblance, "CELL", 4)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(edited(rng, words, rng.choice([0.75, 0.9]))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    label = groups_alike(texts)
+    assert sorted(r["doc_id"] for r in resemblance.deduplicate(docs).collect()) == sorted(label.index(x) for x in set(label))
+
+
 # 5 Byte-level BPE ---------------------------------------------------------------------------------------------------------
 
 
