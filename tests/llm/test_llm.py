@@ -325,6 +325,15 @@ def test_resemblance_in_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in resemblance.deduplicate(docs).collect()) == sorted(label.index(x) for x in set(label))
 
 
+def test_resemblance_without_ids(spark):
+    """Null and repeated doc_ids are rows like others: one of each group stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(None, a), (None, a + " x"), (7, a + " y"), (7, a + " z"), (7, a + " y"), (None, b), (None, b + " x"), (None, b), (7, c), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stay = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_deduplicate(spark, docs, "").collect()]
+    assert sorted(stay, key=str) == [(7, "a"), (7, "c"), (None, "a"), (None, "b")]
+
+
 # 5 Byte-level BPE ---------------------------------------------------------------------------------------------------------
 
 
