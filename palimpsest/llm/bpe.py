@@ -1,7 +1,8 @@
 """Byte-level BPE as a monoid: texts are encoded in halves, and neighbours are joined by encoding their seam again.
 
-Encoding a text is a product over its parts: enc(ab) = join(enc(a), enc(b)). The join takes a window around the seam,
-grows it until the tokens outside provably stay as they are, and encodes only the window again. Two proofs serve:
+Encoding a text is a product over its parts: enc(ab) = join(enc(a), enc(b)). Leaves of LEAF_CHARS characters are encoded
+by themselves. A join takes a window of WINDOW_CHARS to both sides of the seam and doubles a side until the tokens outside
+it provably stay as they are; only the window is encoded again. Two proofs serve:
 
 * Between matches of the pattern. A place where the kind of character changes (letter, number, space, other), but for a
   change from white space and one behind an apostrophe, always ends a match: no match spans it, the pattern never looks
@@ -15,6 +16,7 @@ Decoding joins bytes up the same tree.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,64 +29,84 @@ from ..shipping import on_workers
 from .common import text_or_empty
 
 #: Characters of a leaf of the text's tree, bytes of a leaf within one long match, ids of a leaf when decoding.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 4096, 256, 65_536
-WINDOW_CHARS, WINDOW_TOKENS = 64, 4
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 64, 32, 64
+#: Where a window begins to grow, to each side: characters, and tokens within a long match.
+WINDOW_CHARS, WINDOW_TOKENS = 16, 4
+#: A window of more characters is cut into its matches, and these are encoded in halves.
+LONG_CHARS = 1024
 #: Rows that are encoded before a batch goes out.
 ROWS_A_BATCH = 256
 
+# Where a match surely ends: between a letter, a number or a sign and a character of another kind. Beyond ASCII only letters
+# count, and only where no version of Unicode could class the two characters alike.
+_SPACE, _SIGN = r"\t\n\x0b\x0c\r\x20", r"!-/:-@\[-`{-~"
+BREAK = rf"(?:[A-Za-z](?=[0-9{_SPACE}{_SIGN}])|[0-9](?=[A-Za-z{_SPACE}{_SIGN}])|[!-&(-/:-@\[-`{{-~](?=[A-Za-z0-9{_SPACE}])|[\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ʯ](?=[0-9{_SPACE}]))"
+FIRST, LAST = re.compile(BREAK), re.compile("(?s).*" + BREAK)
+
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import regex
         import tiktoken
 
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.leaf, self.piece = self.core._core_bpe.encode_ordinary, self.core._core_bpe.encode_single_piece
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
-        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        import regex
-
+        self.length = [len(b) for b in self.bytes_of]
         self.pattern = regex.compile(pattern)
         self.agrees = lru_cache(maxsize=1 << 16)(self._agrees)
+        self.joins = 0  # seams joined so far
 
     # Texts -----------------------------------------------------------------------------------------------------
 
-    def encode(self, text: str) -> np.ndarray:
-        if len(text) <= LEAF_CHARS:
-            return self._leaf(text)
-        mid = len(text) // 2
-        left, right = text[:mid], text[mid:]
-        return self.join(left, self.encode(left), right, self.encode(right))
-
-    def _leaf(self, text: str) -> np.ndarray:
-        return self.core.encode_to_numpy(text, disallowed_special=())
-
-    def join(self, left: str, a: np.ndarray, right: str, b: np.ndarray) -> np.ndarray:
-        """The ids of left + right from those of both."""
-        if not left or not right:
-            return b if not left else a
-        lo, hi = _last_break(left, right[0]), _first_break(left[-1], right)
-        before = _tokens_of(self.lengths[a[::-1]], len(left[lo:].encode()))
-        after = _tokens_of(self.lengths[b], len(right[:hi].encode()))
-        seam = self._window(left[lo:] + right[:hi])
-        return np.concatenate([a[: len(a) - before], seam, b[after:]])
-
-    def _window(self, text: str) -> np.ndarray:
-        if len(text) <= LEAF_CHARS:
-            return self._leaf(text)
-        parts = [self._match(m.group().encode()) for m in self.pattern.finditer(text)]
-        return np.concatenate([np.asarray(p, np.uint32) for p in parts]) if parts else np.empty(0, np.uint32)
+    def encode(self, text: str) -> list[int]:
+        return self._encode(text, 0, len(text))
+
+    def _encode(self, text: str, lo: int, hi: int) -> list[int]:
+        if hi - lo <= LEAF_CHARS:
+            return self.leaf(text[lo:hi])
+        mid = (lo + hi) // 2
+        return self.join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
+
+    def join(self, text: str, lo: int, mid: int, hi: int, a: list[int], b: list[int]) -> list[int]:
+        """The ids of text[lo:hi] from those of its parts before and behind mid."""
+        self.joins += 1
+        w, found = WINDOW_CHARS, None
+        while not (found := LAST.match(text, max(lo, mid - w), mid)) and mid - w > lo:
+            w *= 2
+        begin = found.end() if found else lo
+        w = WINDOW_CHARS
+        while not (found := FIRST.search(text, mid, min(hi, mid + w))) and mid + w < hi:
+            w *= 2
+        end = found.end() if found else hi
+        length = self.length
+        keep, size = len(a), len(text[begin:mid].encode())
+        while size > 0:  # the break ends a token, so sizes come out even
+            keep -= 1
+            size -= length[a[keep]]
+        skip, size = 0, len(text[mid:end].encode())
+        while size > 0:
+            size -= length[b[skip]]
+            skip += 1
+        return a[:keep] + self._window(text[begin:end]) + b[skip:]
+
+    def _window(self, text: str) -> list[int]:
+        if len(text) <= LONG_CHARS:
+            return self.leaf(text)
+        return [i for m in self.pattern.finditer(text) for i in self._match(m.group().encode())]
 
     # One long match ----------------------------------------------------------------------------------------------
 
     def _match(self, piece: bytes) -> list[int]:
         if len(piece) <= LEAF_BYTES:
-            return self.core._encode_single_piece(piece)
+            return self.piece(piece)
         mid = len(piece) // 2
         return self._join_tokens(self._match(piece[:mid]), self._match(piece[mid:]))
 
     def _agrees(self, x: int, y: int) -> bool:
-        return self.core._encode_single_piece(self.bytes_of[x] + self.bytes_of[y]) == [x, y]
+        return self.piece(self.bytes_of[x] + self.bytes_of[y]) == [x, y]
 
     def _join_tokens(self, a: list[int], b: list[int]) -> list[int]:
         if self.agrees(a[-1], b[0]):
@@ -92,58 +114,23 @@ class Codec:
         w = WINDOW_TOKENS
         while True:
             i, j = max(0, len(a) - w), min(len(b), w)
-            mid = self.core._encode_single_piece(b"".join(self.bytes_of[t] for t in a[i:] + b[:j]))
+            mid = self.piece(b"".join(self.bytes_of[t] for t in a[i:] + b[:j]))
             if (i == 0 or self.agrees(a[i - 1], mid[0])) and (j == len(b) or self.agrees(mid[-1], b[j])):
                 return a[:i] + mid + b[j:]
             w *= 2
 
     # Ids ---------------------------------------------------------------------------------------------------------
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
-            return b"".join([self.bytes_of[i] for i in ids.tolist()])
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-def _kind(c: str) -> int:
-    """0 white space, 1 letter, 2 number, 3 other; what Python and the pattern might class apart counts as 4."""
-    if c < "\x80":
-        return 1 if c.isalpha() else 2 if c.isdigit() else 0 if c in " \t\n\r\x0b\x0c" else 4 if c < " " or c == "\x7f" else 3
-    return 1 if c.isalpha() else 4
-
-
-def _breaks(before: str, after: str) -> bool:
-    """Whether a match always ends between the two characters."""
-    x, y = _kind(before), _kind(after)
-    return x != y and x != 0 and 4 not in (x, y) and before != "'"
-
-
-def _last_break(left: str, following: str) -> int:
-    """The last place in left behind which a window may begin; 0 if none. The seam itself is not one: what follows it
-    could belong to the match that ends left."""
-    i = len(left) - 1
-    while i > 0 and not (_breaks(left[i - 1], left[i]) and len(left) - i >= 1):
-        i -= 1
-    return max(i, 0)
-
-
-def _first_break(preceding: str, right: str) -> int:
-    """The first place in right where a window may end: past it, right was matched as the whole is."""
-    i, n = 1, len(right)
-    while i < n and not _breaks(right[i - 1], right[i]):
-        i += 1
-    return min(i, n)
-
-
-def _tokens_of(lengths: np.ndarray, size: int) -> int:
-    """How many of the tokens take size bytes."""
-    return int(np.searchsorted(np.cumsum(lengths), size)) + 1 if size else 0
-
-
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str | None = None) -> Codec:
-    """The codec of a file of ranks (base64 token, rank)."""
+    """The codec of a file of ranks (base64 token, rank). A pattern of your own must end matches where BREAK says so."""
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
     with open(path, "rb") as f:
@@ -154,7 +141,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None) -> Data
     """doc_id and ids (array of int) of each row's whole text, as tiktoken's encode_ordinary() gives them.
 
     Null texts count as empty: an empty array. Null or repeated doc_ids stay rows of their own; an empty table gives
-    an empty result; other columns are ignored. Nothing is shuffled.
+    an empty result; other columns are ignored. A text of any length is one row and costs time in proportion to its length
+    (times the depth of its tree where a match or a run of one kind goes on for long). Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +152,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None) -> Data
                 part = batch.slice(at, ROWS_A_BATCH)
                 ids = [own.encode(t.as_py()) for t in part.column(1)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                flat = pa.array(np.concatenate([np.array(x, np.int32) for x in ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
     return on_workers(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -178,7 +166,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str | None = None) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_A_BATCH):
                 part = batch.slice(at, ROWS_A_BATCH)
-                texts = [own.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int32)) for x in part.column(1)]
+                texts = [own.decode(x.as_py() or []) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return on_workers(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,43 +15,69 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Keys that hold more than one part in so many of all rows are looked up by broadcast: there are at most so many.
 HEAVY_KEYS = 1000
-SMALL_BYTES = 4 << 20
 #: Bits of one page of the blocked Bloom filter, as bitmap_construct_agg() makes them.
 PAGE_BITS = 32768
-#: The whole filter takes this many bits at most (32 MB), so that it may be broadcast at any input size.
-MAX_FILTER_BITS = 1 << 28
+#: Bits of a filter for each key, and most bits of one filter: 256 MB, so that it may be broadcast.
+BITS_A_KEY, MAX_FILTER_BITS = 16, 1 << 31
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs' rows whole, as one struct column `row`, beside columns of our own: no name of docs can clash with these."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[x.alias(name) for name, x in more.items()])
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local temporary one only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir; where none is set, a temporary one, but in local mode alone (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Paths of the tables staged within each open scratch(), innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were staged within it, but for those kept: frames over them end with it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df as a table in the shared scratch folder: cuts lineage, is computed once, outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the table of a staged() frame that no later job reads."""
-    path = getattr(df, "_palimpsest_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes the tables of staged() frames that no later job reads."""
+    for df in tables:
+        if path := getattr(df, "_palimpsest_path", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -63,18 +92,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -
     return left.join(heavy, key).unionByName(left.join(heavy, key, "left_anti").join(light, key))
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A scanned table, dealt out to all cores if it has less than SMALL_BYTES for each: its row groups may lie in one
-    split. Larger tables stay as their splits are, so that no text is shuffled. Rows are the same either way."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if size < SMALL_BYTES * cores else table
-
-
 def filter_bits(n: int) -> int:
-    """Bits of a filter for n rows: 16 a row and a power of two, within the bound."""
+    """Bits of a filter for n keys: BITS_A_KEY for each and a power of two, within the bound."""
     bits = PAGE_BITS
-    while bits < 16 * n and bits < MAX_FILTER_BITS:
+    while bits < BITS_A_KEY * n and bits < MAX_FILTER_BITS:
         bits *= 2
     return bits
 

@@ -9,7 +9,7 @@ Where a window would exceed the capacity, the block is partitioned again into on
 from __future__ import annotations
 
 import heapq
-import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +28,9 @@ PIECE, FINE = 512, 16
 #: Windows of a block, and tokens left free in each so that its fullest window rarely exceeds the capacity.
 BLOCK, SLACK = 32, 6
 
+#: Texts that the library gets at once.
+TEXTS_AT_ONCE = 64
+
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -61,43 +64,13 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
-    """A function from texts to arrays of ids, from a byte-level BPE file of the tokenizers library.
-
-    If the merges' order is that of the ids and nothing but splitting precedes them, tiktoken gives the same ids
-    several times faster; other files go through the tokenizers library itself.
-    """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    if ranks := _ranks(spec):
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        own = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return own.encode_to_numpy_ordinary if hasattr(own, "encode_to_numpy_ordinary") else lambda t: own.encode_to_numpy(t, disallowed_special=())
+    """A function from lists of texts to arrays of ids: the tokenizers library itself with a file's own settings, so that
+    added tokens in a text (<|endoftext|>) get their ids, and nothing is added around it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
-
-
-def _ranks(spec: dict) -> dict[bytes, int] | None:
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    if model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-        return None
-    if model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout") or model.get("ignore_merges"):
-        return None
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in spec.get("added_tokens", ())}
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    made = [model["vocab"].get(a + b, -1) for a, b in merges]
-    if made != sorted(made) or not all(len(t) == 1 or t in special for t in model["vocab"].keys() - {a + b for a, b in merges}):
-        return None
-    return {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def cuts(rest: int) -> list[int]:
@@ -155,7 +128,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     One row a piece: doc_id, start (ids of its document before it), length, doc_tokens, sequence_id, offset in the
     sequence (gapless from 0), ids (little-endian unsigned 32-bit). Null texts count as empty and give their end_id.
-    Null or repeated doc_ids are packed as rows of their own. An empty table gives no pieces; other columns are ignored.
+    Null or repeated doc_ids are packed as rows of their own. An empty table gives no pieces; other columns are ignored. A
+    text of any length is cut into pieces; its ids are held whole by one task. Each task ends with a block that isn't full, so
+    padding grows with the number of splits.
     sequence_ids are unique and rise within a task's range, but have gaps between tasks. A run repeats them as long
     as it reads the same splits.
     """
@@ -171,13 +146,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row in packer.add(doc_id, np.concatenate([encode(text.as_py()), end]).astype("<u4")):
-                    rows.append(row)
-                    held += row[2]
-                if held >= 1 << 20:
-                    yield out()
-                    rows, held = [], 0
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    for row in packer.add(doc_id, np.concatenate([ids, end]).astype("<u4")):
+                        rows.append(row)
+                        held += row[2]
+                    if held >= 1 << 20:
+                        yield out()
+                        rows, held = [], 0
         rows.extend(packer.flush())
         if rows:
             yield out()

@@ -95,6 +95,27 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark), queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    """The ids are the library's, also where a text holds the text of an added token."""
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    text = "hi <|endoftext|> there<|endoftext|>"
+    docs = spark.createDataFrame([(1, text), (2, "x"), (2, "x"), (None, None)], "doc_id long, text string")
+    rows = packing.pack(docs.coalesce(1), path).orderBy("doc_id", "start").collect()
+    ids = [i for r in rows if r["doc_id"] == 1 for i in np.frombuffer(bytes(r["ids"]), "<u4").tolist()]
+    assert ids == [*__import__("tokenizers").Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1] and ids.count(50256) == 2
+    packed_well(pairs(docs), packing.with_crc32(packing.pack(docs, path)).collect())
+
+
+def test_windows_are_near_equal():
+    """A full block's windows differ by few tokens, so that none exceeds the capacity and little stays free."""
+    rng = random.Random(4)
+    packer, used = packing.Packer(2048, 0), Counter()
+    for d in range(4000):
+        for row in packer.add(d, np.zeros(rng.randint(1, 900), np.uint32)):
+            used[row[4]] += row[2]
+    assert len(used) > 500 and min(used.values()) >= 2048 - 4 * packing.SLACK and max(used.values()) <= 2048
+
+
 @given(st.lists(st.integers(1, 90), max_size=40), st.integers(90, 200))
 def test_windows(sizes, capacity):
     parts = packing.windows(sizes, capacity)
@@ -348,16 +369,33 @@ PARTS = ["a", "b", "the", "ing", " ", "  ", "\n", "'", "'re", "'l", "12", "!", "
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=40).map("".join) | st.text(max_size=60), st.integers(1, 9))
 def test_bpe_joins(codec, text, leaf):
-    bpe_leaf = bpe.LEAF_CHARS, bpe.LEAF_BYTES
-    bpe.LEAF_CHARS, bpe.LEAF_BYTES = leaf, 3
+    kept = bpe.LEAF_CHARS, bpe.LEAF_BYTES, bpe.WINDOW_CHARS, bpe.LONG_CHARS, bpe.LEAF_IDS
+    bpe.LEAF_CHARS, bpe.LEAF_BYTES, bpe.WINDOW_CHARS, bpe.LONG_CHARS, bpe.LEAF_IDS = leaf, 3, 1, 8, 2
     try:
         ids = codec.encode(text)
+        assert codec.decode(ids) == text.encode()
     finally:
-        bpe.LEAF_CHARS, bpe.LEAF_BYTES = bpe_leaf
-    assert ids.tolist() == codec.core.encode_ordinary(text)
+        bpe.LEAF_CHARS, bpe.LEAF_BYTES, bpe.WINDOW_CHARS, bpe.LONG_CHARS, bpe.LEAF_IDS = kept
+    assert ids == codec.core.encode_ordinary(text)
     assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_as_in_production(codec):
+    """Whole documents with the constants as they are: nearly all are joined from many leaves."""
+    import pyarrow.parquet as pq
+
+    given = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    assert bpe.LEAF_CHARS <= 64 and bpe.LEAF_BYTES <= 32
+    long = sum(len(t) > bpe.LEAF_CHARS for t in given)
+    before = codec.joins
+    for t in given:
+        ids = codec.encode(t)
+        assert ids == codec.core.encode_ordinary(t) and codec.decode(ids) == t.encode()
+    assert long > 0.9 * len(given) and codec.joins - before > 20 * long
+    for t in ["漢字" * 3000, " " * 5000 + "x", "a'" * 3000, "1" * 5000, "!" * 5000, "\n\n  \t" * 1000, "é9" * 2000, "don't you'll " * 500]:
+        assert codec.encode(t) == codec.core.encode_ordinary(t)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="aabcdet", min_size=1, max_size=300))
 def test_bpe_within_a_match(codec, text):
@@ -374,7 +412,7 @@ def test_bpe(spark, docs, codec):
     assert got == sorted((str(d), tuple(codec.core.encode_ordinary(t)), t.encode()) for d, t in pairs(docs))
     assert bpe.encode(empty(spark), path).count() == 0
     run = "ab" * 50_000
-    assert codec.encode(run).tolist() == codec.core.encode_ordinary(run)
+    assert codec.encode(run) == codec.core.encode_ordinary(run)
 
 
 # 6 Exact duplicates ----------------------------------------------------------------------------------------------------------
