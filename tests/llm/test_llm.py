@@ -446,19 +446,49 @@ def test_hot_text(spark):
 
 def slow_spans(text: str):
     r = lambda p: [(m.start(), m.end(), m) for m in re.compile(p, re.A).finditer(text)]
-    strong = [(s, 0, e, "assign") for s, e, m in r(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""") if len(m[2]) >= 12]
+    assigned = r(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    strong = [(s, 0, e, "assign") for s, e, m in assigned if len(m[2]) >= 12]
     strong += [(s, 1, e, "access") for s, e, _ in r("AKIA[A-Z0-9]+") if e - s >= 18]
     strong += [(s, 2, e, "hex") for s, e, _ in r("[0-9a-f]+") if e - s >= 16]
-    ids = [(s, 3, e, "id") for s, e, _ in r(secrets.ID)]
-    tokens = [(s, 4, e, "token") for s, e, _ in r(secrets.TOKEN) if not any(b[0] < e and s < b[2] for b in strong)]
-    ends = [(s, 5, e, "endpoint") for s, e, _ in r(secrets.ENDPOINT)]
-    every = strong + ids + tokens + ends
-    near = lambda x, kinds: any(y[3] in kinds and abs(y[0] - x[0]) <= secrets.SCOPE for y in every)
-    hid, sec = ("access", "id"), ("assign", "hex", "token")
-    weak = [x for x in ids if near(x, sec)] + [x for x in tokens if near(x, hid)] + [x for x in ends if near(x, hid) and near(x, sec)]
+    ids = [(s, 3, e, "id") for s, e, _ in r(secrets.ID)] + [(s, 4, e, "email") for s, e, _ in r(secrets.EMAIL)]
+    tokens = [(s, 5, e, "token") for s, e, _ in r(secrets.TOKEN) if not any(b[0] < e and s < b[2] for b in strong)]
+    short = [(s, 6, e, "pass") for s, e, m in assigned if 4 <= len(m[2]) < 12]
+    ends = [(s, 7, e, "endpoint") for s, e, _ in r(secrets.ENDPOINT)]
+    ends += [(s, 8, e, "host") for s, e, _ in r(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]*[0-9])(?::[0-9]{1,5})?")]
+    every = strong + ids + tokens + short + ends
+    near = lambda x, *kinds: any(y[3] in kinds and abs(y[0] - x[0]) <= secrets.SCOPE for y in every)
+    hid, sec = ("access", "id", "email"), ("assign", "hex", "token", "pass")
+    weak = [x for x in ids if near(x, *sec)] + [x for x in tokens if near(x, *hid)] + [x for x in short if near(x, *hid, "endpoint", "host")]
+    weak += [x for x in ends if near(x, "assign", "hex", "pass") or near(x, *hid) and near(x, *sec)]
     return sorted(strong), sorted(strong + weak)
 
 
+LINKED = [
+    "mail bob.x@mail1.example.com then password: short12 and 10.20.30.40:8080", "10.20.30.40 alone, bob@mail.example.com far", "password=hunter2 alone", "passwd=hunter2 at 1.2.3.4",
+    "host 1.2.3.4" + " pad" * 70 + " token = abcdefghijklmnop", "host 1.2.3.4" + " pad" * 20 + " token = abcdefghijklmnop", "1.2.3.4.5 1.2.3 999.1.1.1 secret=abcdefghijklmnopq", "a@b c@d.e x@y.zz 4785380592391139",
+    "é🙂 " * 3000 + "user: robert Zm9vYmFyMTIzQUJDZGVmR0hJ " + "é🙂 " * 3000 + "token=" + "ab" * 9000 + " 8.8.8.8", "token=abcdefghijklmnop " * 3000, "https://h.example/aB3" + "x" * 30 + " user=robert1 deadbeefdeadbeef",
+]
+
+
+def test_secrets_are_linked(spark):
+    docs = spark.createDataFrame(list(enumerate(LINKED)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.scan(docs)).collect()}
+    listed = lambda x: ",".join(f"{k}:{s}:{e}" for s, _, e, k in x)
+    assert got == {i: listed(slow_spans(t)[1]) for i, t in enumerate(LINKED)}
+    kinds = {i: {x.split(":")[0] for x in v.split(",")} for i, v in got.items()}
+    assert kinds[0] == {"email", "pass", "host"} and kinds[1] == kinds[2] == {""} and kinds[3] == {"pass", "host"}
+    assert kinds[4] == {"assign"} and kinds[5] == {"assign", "host"} and got[9].count("assign") == 3000
+
+
+def test_secrets_link_in_the_drivers_tables(spark):
+    """Parts that are harmless alone are completed by others there; strong spans alone stay as they are."""
+    sf = "/root/testdata/sf0.01"
+    got = Counter(x.split(":")[0] for r in queries.op7_secret_scan(spark, sf).collect() for x in r["spans"].split(",") if x)
+    given = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert got == Counter(x[3] for r in given for x in slow_spans(r["text"] or "")[1])
+    assert (got["email"], got["host"]) == (4, 2)
+
+
 def test_secrets(spark, docs):
     got = {(r["doc_id"], r["base_sha256"], r["spans"], r["n_assign"], r["n_access"], r["n_hex"]) for r in secrets.digests(secrets.scan(docs)).collect()}
     want = set()
@@ -489,6 +519,24 @@ def test_redaction(docs):
         assert (rows[i]["text"] or "") == text + (t or "")[at:]
 
 
+def test_redaction_of_any_columns(spark, monkeypatch):
+    """Names that the operator could use itself, no n_chars, long texts and chunks smaller than spans."""
+    monkeypatch.setattr(secrets, "CHUNK", 7)
+    given = [*texts(), *LINKED]
+    docs = spark.createDataFrame([(t, i, "a", "h", "n", 1, "m") for i, t in enumerate(given)], "text string, doc_id int, pal_a string, hits string, body string, number int, masks string")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    rows = {r["doc_id"]: r for r in out.collect()}
+    for i, t in enumerate(given):
+        text, at = "", 0
+        for s, _, e, _ in slow_spans(t or "")[1]:
+            if s >= at:
+                text += (t or "")[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert (rows[i]["text"] or "") == text + (t or "")[at:] and (rows[i]["text"] is None) == (t is None)
+        assert (rows[i]["pal_a"], rows[i]["hits"], rows[i]["body"], rows[i]["number"], rows[i]["masks"]) == ("a", "h", "n", 1, "m")
+
+
 # 8 Sharding ------------------------------------------------------------------------------------------------------------------------
 
 
