@@ -7,6 +7,10 @@ a binary trie over the other bits. It is joined with itself: pairs of nodes desc
 which they differ, and a pair is pruned once they exceed the budget, or once both nodes are in one component already.
 Only links that join two components leave a task (fewer than fingerprints came in), and the components are closed by
 alternating star contractions between written tables.
+
+A key with over HEAVY fingerprints isn't joined in one task: the bits that its key leaves free are cut into errors + 1
+blocks, of which two fingerprints that link share one, so that its trie falls apart into that many sets of smaller ones,
+and so on until none is heavy or so few bits are free that none can be.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import on_workers
-from .common import bloom_pages, bloom_test, filter_bits, lookup, release, staged, text_or_empty
+from .common import bloom_pages, bloom_test, filter_bits, lookup, packed, release, staged, text_or_empty
 
 BITS = 64
 #: Shingles counted at once, and node pairs that descend at once.
 CHUNK, PAIRS = 1 << 16, 1 << 18
+#: Distinct fingerprints of one key that a task joins at most; it holds a few hundred bytes for each.
+HEAVY = 1 << 17
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -109,9 +115,9 @@ def join_trie(fps: np.ndarray, groups: np.ndarray, errors: int) -> np.ndarray:
     while stack:
         ul, uh, vl, vh, bit, err = stack.pop()
         if len(ul) > PAIRS:
-            cut = len(ul) // 2
-            stack += [(ul[:cut], uh[:cut], vl[:cut], vh[:cut], bit[:cut], err[:cut])]
-            ul, uh, vl, vh, bit, err = ul[cut:], uh[cut:], vl[cut:], vh[cut:], bit[cut:], err[cut:]
+            whole = ul, uh, vl, vh, bit, err
+            stack += [tuple(c[at : at + PAIRS] for c in whole) for at in range(PAIRS, len(ul), PAIRS)]
+            ul, uh, vl, vh, bit, err = (c[:PAIRS] for c in whole)
         single = (uh - ul == 1) & (vh - vl == 1)
         i, j = ul[single], vl[single]
         if len(i):
@@ -154,15 +160,49 @@ def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) ->
     return lo
 
 
-def links(distinct: DataFrame, n: int, errors: int) -> DataFrame:
+def finer(mask: int, errors: int) -> list[int]:
+    """A mask (signed long) with each of errors + 1 blocks of the bits that it leaves free."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [len(free) * i // (errors + 1) for i in range(errors + 2)]
+    out = [mask % (1 << BITS) | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [x - (1 << BITS) if x >> (BITS - 1) else x for x in out]
+
+
+def cells(distinct: DataFrame, n: int, errors: int, heavy: int = HEAVY) -> DataFrame:
+    """(t, k, fp): the keys under which fingerprints meet; any two at most so many bits apart share one.
+
+    Keys of more than `heavy` fingerprints are found by counting with map-side combining and cut finer. There are at most
+    n * choices / heavy of them, 40 bytes each, so that they may be broadcast."""
+    spark = distinct.sparkSession
+    paths = list(enumerate(masks(blocks(n, errors), errors)))
+    under = lambda mask: F.col("fp").bitwiseAND(mask)
+    now = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), under(F.lit(m)).alias("k")) for t, m in paths])).alias("x")).select("x.t", "x.k", "fp")
+    out = None
+    while paths:
+        full = now.groupBy("t", "k").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > heavy).select("t", "k")
+        paths = [(t, m) for t, m in paths if 1 << (BITS - (m % (1 << BITS)).bit_count()) > heavy]
+        full = staged(full.filter(F.col("t").isin([t for t, _ in paths])), "heavy") if paths else None
+        some = {r["t"] for r in full.select("t").distinct().collect()} if full is not None else set()  # at most one a choice
+        if not some:
+            return now if out is None else out.unionByName(now)
+        light = now.join(F.broadcast(full), ["t", "k"], "left_anti")
+        out = light if out is None else out.unionByName(light)
+        down = [(t, t * (errors + 1) + i + 1_000_000, x) for t, m in paths if t in some for i, x in enumerate(finer(m, errors))]
+        step = F.broadcast(spark.createDataFrame(down, "t long, t2 long, mask long"))
+        now = staged(now.join(F.broadcast(full), ["t", "k"], "left_semi").join(step, "t").select(F.col("t2").alias("t"), under(F.col("mask")).alias("k"), "fp"), "finer")
+        paths = [(t2, x) for _, t2, x in down]
+    return out
+
+
+def links(distinct: DataFrame, n: int, errors: int, heavy: int | None = None) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct, n of them) at most so many bits apart."""
-    choices = masks(blocks(n, errors), errors)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(choices)])).alias("x")).select("x.t", "x.k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        whole: list[np.ndarray] = []  # rows of keys that are complete
+        open_: list[np.ndarray] = []  # rows of the last key, which may go on in the next batch
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(whole)
             fps, key = rows[:, 2].view(np.uint64), rows[:, :2]
             group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
             order = np.lexsort((fps, group))
@@ -172,17 +212,25 @@ def links(distinct: DataFrame, n: int, errors: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(s[found[:, 0]]), pa.array(s[found[:, 1]])], ["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
-            if sum(map(len, held)) >= CHUNK:
-                rows = np.concatenate(held)
-                last = np.nonzero((rows[:, :2] != rows[-1, :2]).any(1))[0]  # the last key may go on in the next batch
-                if len(last):
-                    yield out(rows[: last[-1] + 1])
-                    rows = rows[last[-1] + 1 :]
-                held = [rows]
-        if held and sum(map(len, held)):
-            yield out(np.concatenate(held))
-
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+            if not len(rows):
+                continue
+            ends = np.nonzero((rows[1:, :2] != rows[:-1, :2]).any(1))[0] + 1
+            last = ends[-1] if len(ends) else 0
+            if open_ and (last or (open_[-1][-1, :2] != rows[0, :2]).any()):
+                whole += open_
+                open_ = []
+            if last:
+                whole.append(rows[:last])
+            open_.append(rows[last:])
+            if sum(map(len, whole)) >= CHUNK:
+                yield out()
+                whole = []
+        whole += open_
+        if whole:
+            yield out()
+
+    keyed = cells(distinct, n, errors, heavy or HEAVY)
     return on_workers(keyed).repartition("t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -194,24 +242,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = staged(now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "stars")
         large = _star(both, F.col("b") > F.col("a"))
-        small = _star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), F.lit(True))
+        turned = staged(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        small = _star(turned, F.lit(True))
         following = staged(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         heads = following.select(F.col("b").alias("a")).distinct()
         done = following.groupBy("a").count().filter("count > 1").isEmpty() and following.join(heads, "a", "left_semi").isEmpty()
-        release(now)
+        release(now, both, turned)
         now = following
         if done:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def _star(edges: DataFrame, move) -> DataFrame:
-    """Edges from each node's neighbours (those that `move` picks, and the node itself) to the least of both."""
-    edges = staged(edges.distinct(), "stars")
+    """Edges (a written table) from each node's neighbours (those that `move` picks, and the node itself) to the least of both."""
     least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("pal_n"))
-    total = edges.count()
-    moved = lookup(edges, least, "a", "pal_n", total).filter(move).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = lookup(edges, least, "a", "pal_n", edges.count()).filter(move).select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = least.select("a", F.col("m").alias("b"))
     return moved.unionByName(own).filter("a <> b")
 
@@ -221,15 +268,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, errors: int = 4) -> DataFra
 
     Fingerprints link at `errors` or fewer differing bits; those of texts without a word are zero and link like others.
     Null texts count as empty. A null doc_id is no component_id unless its component has no other. Rows that repeat a
-    doc_id are rows of their own. An empty table gives an empty result; other columns are ignored.
+    doc_id are rows of their own. An empty table gives an empty result; other columns are ignored. A text of any length
+    counts whole; its shingles are counted CHUNK at a time.
     """
     rows = staged(fingerprints(docs, words), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("pal_n")), "classes")
     n = classes.count()
-    labels = components(links(classes.select("fp"), n, errors))
+    found = staged(links(classes.select("fp"), n, errors), "links")
+    labels = components(found)
     labelled = staged(classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", "pal_n", F.coalesce("label", "fp").alias("label")), "labels")
+    release(classes, found)
     whole = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("pal_n").alias("component_size"), F.count(F.lit(1)).alias("pal_m"))
     by_fp = staged(lookup(labelled, whole, "label", "pal_m", n).select("fp", "pal_n", "component_id", "component_size"), "components")
+    release(labelled)
     return lookup(rows, by_fp, "fp", "pal_n", rows.count()).select("doc_id", "fp", "component_id", "component_size")
 
 
@@ -238,13 +289,13 @@ def deduplicate(docs: DataFrame, words: int = 4, errors: int = 4) -> DataFrame:
 
     Most rows don't shuffle: a bounded Bloom filter of the doc_ids that go tells which rows may have to; only those meet
     the exact list. Rows that share a doc_id stay or go together; rows with a null doc_id can't be told apart and stay.
+    Null texts count as empty. An empty table gives an empty result; other columns stay, whatever their names.
     """
     found = near_duplicates(docs, words, errors)
     stays = F.bool_or(F.col("doc_id") == F.col("component_id"))
-    gone = staged(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("pal_gone")).agg(stays.alias("stays")).filter("not stays").select("pal_gone"), "gone")
+    gone = staged(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("gone")).agg(stays.alias("stays")).filter("not stays").select("gone"), "gone")
     bits = filter_bits(gone.count())
-    pages = staged(bloom_pages(gone.select(F.xxhash64("pal_gone").alias("h")), bits, 1), "gone-filter")
-    tested = bloom_test(docs.withColumn("pal_h", F.xxhash64("doc_id")), "pal_h", pages, bits, "pal_maybe")
-    maybe = tested.filter("pal_maybe")
-    exact = maybe.join(gone, maybe.doc_id == gone.pal_gone, "left_anti")
-    return tested.filter(~F.col("pal_maybe")).select(docs.columns).unionByName(exact.select(docs.columns))
+    pages = staged(bloom_pages(gone.select(F.xxhash64("gone").alias("h")), bits, 1), "gone-filter")
+    tested = bloom_test(packed(docs, id=F.col("doc_id"), h=F.xxhash64("doc_id")), "h", pages, bits, "maybe")
+    exact = tested.filter("maybe").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return tested.filter("not maybe").select("row.*").unionByName(exact.select("row.*"))

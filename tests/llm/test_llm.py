@@ -261,8 +261,35 @@ def test_near_duplicates(spark, docs):
     assert stay.filter("doc_id is null").count() == 2
 
 
+def test_a_hot_key_is_cut(spark):
+    """100,000 fingerprints under one key: no task gets more than the bound, and links are found all the same."""
+    rng = np.random.default_rng(1)
+    head = np.uint64(0b1011) << np.uint64(60)
+    fps = np.unique(rng.integers(0, 1 << 36, 100_000, np.uint64)) | head
+    near = fps[:500] ^ (np.uint64(1) << rng.integers(0, 36, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 36, 500).astype(np.uint64))
+    signed = np.unique(np.concatenate([fps, near])).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(4)
+    heavy = 5000
+    sizes = simhash.cells(df, len(signed), 4, heavy).groupBy("t", "k").count()
+    assert sizes.agg(F.max("count")).first()[0] <= heavy < simhash.cells(df, len(signed), 4).groupBy("t", "k").count().agg(F.max("count")).first()[0]
+    got = simhash.links(df, len(signed), 4, heavy).collect()
+    assert all(bin((r["a"] ^ r["b"]) % (1 << 64)).count("1") <= 4 for r in got)
+    labels = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(got)).collect()}
+    assert all(labels.get(int(a), int(a)) == labels.get(int(b), int(b)) for a, b in zip(fps[:500].view(np.int64), near.view(np.int64)))
+
+
+@pytest.mark.parametrize("m", [5, 6, 8])
+def test_links_of_cut_keys(spark, monkeypatch, m):
+    monkeypatch.setattr(simhash, "HEAVY", 6)
+    linked_as_slowly(spark, monkeypatch, m)
+
+
 @pytest.mark.parametrize("m", [5, 6, 8])
 def test_links(spark, monkeypatch, m):
+    linked_as_slowly(spark, monkeypatch, m)
+
+
+def linked_as_slowly(spark, monkeypatch, m):
     rng = np.random.default_rng(m)
     monkeypatch.setattr(simhash, "blocks", lambda n, e: m)
     fps = {0, (1 << 64) - 1}
