@@ -13,8 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+from pyspark.sql import Window as W
 
 
 @dataclass(frozen=True)
@@ -82,26 +81,28 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     Rows go by turn, then role and text. Null texts count as empty, null roles as the role ''; a null conv_id is one
     conversation, null turns come first, and repeated rows are turns of their own. Conversations out of order are
     formatted too. An empty table gives an empty result; other columns are ignored. A conversation is one row of the
-    result, so its turns meet in one task: they, and no others.
+    result, so its turns, of any length and number, meet in one task: they, and no others.
     """
     t = template or Template()
-    rows = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def opening(x: Column) -> Column:
-        out = None
+    def by_role(mark, other: Column) -> Column:
+        out = F
         for role, m in t.marks.items():
-            out = (F if out is None else out).when(x["role"] == role, F.lit(m.open + " "))
-        return out.otherwise(F.concat(F.lit(t.role.open), t.escape(x["role"]), F.lit(t.role.close + t.other.open + " ")))
-
-    def closing(x: Column) -> Column:
-        out = None
-        for role, m in t.marks.items():
-            out = (F if out is None else out).when(x["role"] == role, F.lit(" " + m.close))
-        return out.otherwise(F.lit(" " + t.other.close))
-
-    bears = lambda x: x["role"].isin([r for r, m in t.marks.items() if m.loss] or [None])
-    segments = F.transform("turns", lambda x: F.struct(opening(x).alias("open"), t.escape(x["text"]).alias("text"), closing(x).alias("close"), bears(x).alias("loss")))
+            out = out.when(F.col("role") == role, F.lit(mark(m)))
+        return out.otherwise(other)
+
+    opening = by_role(lambda m: m.open + " ", F.concat(F.lit(t.role.open), t.escape(F.col("role")), F.lit(t.role.close + t.other.open + " ")))
+    closing = by_role(lambda m: " " + m.close, F.lit(" " + t.other.close))
+    bears = F.col("role").isin([r for r, m in t.marks.items() if m.loss] or [None])
+    cut = rows.withColumn("open", opening).withColumn("close", closing).withColumn("body", t.escape(F.col("text")))
+    # where a segment begins is a running sum over the turns before it
+    so_far = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    size = F.char_length("open").cast("long") + F.char_length("body") + F.char_length("close")
+    cut = cut.withColumn("end", F.sum(size).over(so_far)).withColumn("at", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    span = F.struct((F.col("end") - F.char_length("body") - F.char_length("close")).cast("int").alias("start"), F.char_length("body").alias("length"))
+    segment = F.struct("at", "role", F.concat("open", "body", "close").alias("text"), F.when(bears, span).alias("span"))
+    whole = cut.groupBy("conv_id").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
 
     def step(a: Column, x: Column) -> Column:
         state = None
@@ -110,18 +111,13 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
         state = state.otherwise(F.lit("error"))
         return F.struct(F.when(a["state"] == "error", a["state"]).otherwise(state).alias("state"), (a["n"] + F.when(a["state"] == "error", 0).otherwise(1)).alias("n"))
 
-    machine = F.aggregate("turns", F.struct(F.lit("start").alias("state"), F.lit(0).alias("n")), step)
-    spans = F.aggregate(
-        "segments", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + F.char_length(s["open"]) + F.char_length(s["text"]) + F.char_length(s["close"])).alias("at"),
-            F.when(s["loss"], F.array_append(a["out"], F.struct((a["at"] + F.char_length(s["open"])).alias("start"), F.char_length(s["text"]).alias("length")))).otherwise(a["out"]).alias("out")),
-        lambda a: a["out"])
-    return whole.withColumn("segments", segments).withColumn("machine", machine).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+    machine = F.aggregate("segments", F.struct(F.lit("start").alias("state"), F.lit(0).alias("n")), step)
+    spans = F.filter(F.transform("segments", lambda s: s["span"]), lambda s: s.isNotNull())
+    return whole.withColumn("machine", machine).select(
+        "conv_id", F.size("segments").cast("long").alias("n_turns"),
         (F.col("machine.state") != "error").alias("valid"), F.col("machine.state").isin(list(t.final)).alias("complete"),
         F.when(F.col("machine.state") == "error", F.col("machine.n") - 1).alias("error_turn"),
-        F.array_join(F.transform("segments", lambda s: F.concat(s["open"], s["text"], s["close"])), "").alias("formatted"), spans.alias("loss_spans"))
+        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:

@@ -80,8 +80,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of left with right, in which key is unique and `size` counts the key's rows in left.
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of left with right, in which key is unique and `size` counts the key's rows in left.
 
     Keys with over total / HEAVY_KEYS rows are fewer than HEAVY_KEYS, so they are broadcast and their rows
     don't move; the others have no such key and are joined by hash.
@@ -89,7 +89,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -
     limit = max(total / HEAVY_KEYS, 1.0)
     heavy = F.broadcast(right.filter(F.col(size) > limit))
     light = right.filter(F.col(size) <= limit)
-    return left.join(heavy, key).unionByName(left.join(heavy, key, "left_anti").join(light, key))
+    return left.join(heavy, key).unionByName(left.join(heavy, key, "left_anti").join(light, key, how))
 
 
 def filter_bits(n: int) -> int:

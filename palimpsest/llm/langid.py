@@ -6,8 +6,10 @@ cost in the context one byte shorter; below order 0 stands the uniform distribut
 language has never seen cost nothing to leave. The statistics are frozen after learning, so the exact code length of a
 text is a sum of table entries; the language with the shortest code wins.
 
-The tables are plain sorted arrays: for each context-plus-byte seen in any language the finished cost in every
-language, and for each context its escape cost. Their size is bounded by MAX_GRAMS, so the model may be broadcast.
+The tables are plain arrays: for each context-plus-byte seen in any of up to BLOCK languages the finished cost in each of
+these, and for each context its escape cost. Every language that has a label is learned, and every byte string of the
+documents learned from counts. Their number is bounded by parameters (rows a language, rows in all), and so the model's
+size, whatever the table's: it may be broadcast.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..shipping import on_workers
 from .common import release, staged
 
 ORDER = 3
-#: The classifier learns from about so many whole documents a language (chosen by a hash of doc_id), of the
-#: MAX_LANGUAGES most frequent ones, and keeps the MAX_GRAMS most frequent byte strings of each length.
-DOCS_A_LANGUAGE, MAX_LANGUAGES, MAX_GRAMS = 1500, 64, 400_000
+#: The classifier learns from about so many whole documents a language, and so many in all (chosen by a hash of doc_id).
+DOCS_A_LANGUAGE, DOCS_IN_ALL = 1500, 60_000
+#: Languages whose costs stand side by side in one table.
+BLOCK = 16
 #: Bytes scored at once.
 CHUNK = 1 << 18
 ROWS_AT_ONCE = 256
@@ -38,17 +42,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def training_sample(docs: DataFrame, per_language: int = DOCS_A_LANGUAGE) -> DataFrame:
-    """(lang, text): a bounded sample of labelled documents that aren't held out, by a hash of doc_id."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return labelled.select("lang", "text")
+def training_sample(docs: DataFrame, per_language: int = DOCS_A_LANGUAGE, in_all: int = DOCS_IN_ALL) -> DataFrame:
+    """(lang, text): a bounded sample of labelled documents that aren't held out, by a hash of doc_id: about per_language of
+    each language, or in_all dealt out evenly if these are fewer."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
+    counts = counts.withColumn("share", F.least(F.lit(per_language), F.lit(in_all) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))  # one row a language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (draw < min(1.0, per_language / r["count"])))
-    return labelled.filter(keep).select("lang", "text")
+    return labelled.join(F.broadcast(counts), "lang").filter(draw < F.col("share") / F.col("of")).select("lang", "text")
 
 
 def _keys(data: np.ndarray, order: int, start: int = ORDER) -> np.ndarray:
@@ -120,7 +121,7 @@ class Table:
 
 
 @dataclass
-class Model:
+class Part:
     """By order: a table of contexts and their byte, with bits by language, and one of contexts, with escape bits."""
 
     langs: list[str]
@@ -197,23 +198,36 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_A_LANGUAGE, max_grams: int = MAX_GRAMS) -> Model | None:
-    """The frozen model of the languages in the sample; None if no document is labelled."""
-    counted = staged(gram_counts(training_sample(docs, per_language)), "grams")
+@dataclass
+class Model:
+    langs: list[str]
+    parts: list[Part]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Code length in bits of each text, by language."""
+        return np.concatenate([p.lengths(texts) for p in self.parts], 1)
+
+
+def learn(docs: DataFrame, per_language: int = DOCS_A_LANGUAGE, in_all: int = DOCS_IN_ALL) -> Model | None:
+    """The frozen model of all languages that label a document; None if no document is labelled.
+
+    Null texts and labels teach nothing, null doc_ids count as the empty text in the choice of held-out documents; repeated
+    rows count as often as they stand there. Documents of any length count whole."""
+    counted = staged(gram_counts(training_sample(docs, per_language, in_all)), "grams")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    if not langs:
-        return None
-    wide = counted.groupBy("ord", "key").pivot("lang", langs).sum("n").fillna(0)
-    total = sum((F.col(f"`{x}`") for x in langs), F.lit(0))
-    model = Model(langs)
-    for order in range(ORDER + 1):
-        rows = wide.filter(F.col("ord") == order).orderBy(total.desc(), "key").limit(max_grams * 8 // max(8, len(langs))).toArrow()
-        keys = rows.column("key").to_numpy().astype(np.uint32)
-        counts = np.stack([rows.column(2 + i).to_numpy() for i in range(len(langs))], 1) if len(keys) else np.zeros((0, len(langs)), np.int64)
-        by_key = np.argsort(keys)
-        model.add_order(keys[by_key], counts[by_key])
+    parts = []
+    for at in range(0, len(langs), BLOCK):
+        own = langs[at : at + BLOCK]
+        part = Part(own)
+        for order in range(ORDER + 1):
+            rows = counted.filter((F.col("ord") == order) & F.col("lang").isin(own)).select("lang", "key", "n").toArrow()
+            keys, of = np.unique(rows.column("key").to_numpy().astype(np.uint32), return_inverse=True)
+            counts = np.zeros((len(keys), len(own)), np.int64)
+            counts[of, np.searchsorted(own, rows.column("lang").to_pylist())] = rows.column("n").to_numpy()
+            part.add_order(keys, counts)
+        parts.append(part)
     release(counted)
-    return model
+    return Model(langs, parts) if langs else None
 
 
 def judge(model: Model | None, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -236,7 +250,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     lang_pred is a learned language, `und` if the text is null or has no letter; on a tie the alphabetically first one
     wins. score is the language's posterior under equal priors. Null and repeated doc_ids stay rows of their own; an
-    empty table gives an empty result; other columns are ignored. Nothing is shuffled.
+    empty table gives an empty result; other columns are ignored. Texts of any length are scored whole, CHUNK bytes at a
+    time. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -252,7 +267,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accept(docs: DataFrame, model: Model | None, spare_bits: float = 256.0) -> DataFrame:
     """The rows of docs, whole, whose text is in some learned language: not `und`, and in that language's code no longer
-    than the bytes themselves and spare_bits, which the first letters of a short text may cost."""
+    than the bytes themselves and spare_bits, which the first letters of a short text may cost.
+
+    Null texts go, as do those without a letter, and all rows if no language was learned; null and repeated doc_ids and
+    repeated rows are rows like others. An empty table gives an empty result; other columns stay, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -18,8 +18,7 @@ from .common import SPACE_RUN, release, staged, text_or_empty
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
-#: Labelled rows that are learned from at most, chosen by a hash of doc_id; thresholds a feature and class; the list's bounds.
-MAX_LABELLED, QUANTILES, MAX_RULES, MAX_CONDITIONS, PRECISION, LEAST_COVERED = 20_000, 24, 8, 3, 0.95, 8
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_distinct"]
 #: What rules may ask for: quotients of the statistics.
 FEATURES = {
     "n_words": "cast(n_words as double)", "chars_a_word": "try_divide(word_chars, n_words)", "symbols_a_word": "try_divide(n_symbols, n_words)",
@@ -35,7 +34,9 @@ def _without(pattern: str) -> Column:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and counts of each whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines,
-    n_capitals, n_bangs, n_distinct for the rules. Null texts have no words; an empty table gives an empty result.
+    n_capitals, n_bangs, n_distinct for the rules. Null texts have no words; null and repeated doc_ids and repeated rows are
+    rows like others; an empty table gives an empty result; other columns are ignored. A text of any length counts whole; its
+    words' hashes are one array of its row.
 
     Repeated windows are found in the row: hashes of words, then of windows; where some hash repeats, windows are sorted
     by hash so that equal ones are neighbours, and those that have one are covered from left to right.
@@ -67,6 +68,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+@dataclass(frozen=True)
+class Learning:
+    """Labelled rows that are learned from at most, chosen by a hash of doc_id; thresholds a feature and class; rules, and
+    conditions of a rule, at most; the share of bad ones among the rows that a rule covers, and how many of them, at least."""
+
+    most_labelled: int = 20_000
+    quantiles: int = 24
+    most_rules: int = 8
+    most_conditions: int = 3
+    precision: float = 0.95
+    least_covered: int = 8
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -101,21 +115,20 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def learn(stats: DataFrame, labels: DataFrame, precision: float = PRECISION) -> list[Rule]:
-    """Rules that reject texts like those with quality 0, from at most MAX_LABELLED labelled rows of stats.
+def learn(stats: DataFrame, labels: DataFrame, given: Learning | None = None) -> list[Rule]:
+    """Rules that reject texts like those with quality 0.
 
-    Labels that are null, or whose text fails the base rules, teach nothing; without two classes there are no rules.
-    Repeated labels count once.
-    """
-    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = stats.filter(~base_failed()).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = staged(rows.select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_distinct"), "labelled")
-    cuts = _thresholds(sample)
+    Learned from labelled rows that don't fail the base rules: labels that are null or of no row of stats teach nothing.
+    Repeated labels of a doc_id count once, with the least quality, and repeated doc_ids once, with the least statistics;
+    null doc_ids have no label. Without two classes there are no rules. Of conditions that gain alike, the first by feature
+    and threshold wins, `<=` before `>`. Other columns are ignored."""
+    given = given or Learning()
+    sample = staged(labelled(stats, labels, given.most_labelled), "labelled")
+    cuts = thresholds(sample, given.quantiles)
     rules: list[Rule] = []
     left = F.lit(True)
-    while cuts and len(rules) < MAX_RULES:
-        rule = _pruned(sample.filter(left & ~F.col("grow")), _grown(sample.filter(left & F.col("grow")), cuts), precision)
+    while cuts and len(rules) < given.most_rules:
+        rule = _pruned(sample.filter(left & ~F.col("grow")), _grown(sample.filter(left & F.col("grow")), cuts, given), given.precision)
         if not rule:
             break
         rules.append(rule)
@@ -124,18 +137,26 @@ def learn(stats: DataFrame, labels: DataFrame, precision: float = PRECISION) ->
     return rules
 
 
-def _thresholds(sample: DataFrame) -> dict[str, list[float]]:
+def labelled(stats: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(bad, grow, statistics) of at most so many labelled rows; those with grow make rules, the others prune them."""
+    own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = stats.filter(~base_failed()).select("doc_id", F.struct(*STATISTICS).alias("s")).join(own, "doc_id").groupBy("doc_id").agg(F.min("s").alias("s"), F.min("quality").alias("quality"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return rows.select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow"), "s.*")
+
+
+def thresholds(sample: DataFrame, quantiles: int) -> dict[str, list[float]]:
     """Candidate thresholds of each feature: quantiles of both classes."""
-    marks = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+    marks = F.array(*[F.lit(i / quantiles) for i in range(quantiles + 1)])
     found = sample.groupBy("bad").agg(*[F.percentile_approx(F.expr(f), marks, 10_000).alias(n) for n, f in FEATURES.items()]).collect()
     if len(found) < 2:
         return {}
     return {n: sorted({float(x) for r in found for x in r[n] or ()}) for n in FEATURES}
 
 
-def _grown(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
+def _grown(rows: DataFrame, cuts: dict[str, list[float]], given: Learning) -> Rule:
     rule: Rule = ()
-    while len(rule) < MAX_CONDITIONS:
+    while len(rule) < given.most_conditions:
         counts = _counts(rows.filter(holds(rule)), cuts)
         bad, good = (sum(x[i] for x in counts[next(iter(cuts))]) for i in (0, 1))
         if not bad or not good:
@@ -146,7 +167,7 @@ def _grown(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
             for threshold, (b, g) in zip(cuts[feature], bins):
                 below_bad, below_good = below_bad + b, below_good + g
                 for above, p, n in ((False, below_bad, below_good), (True, bad - below_bad, good - below_good)):
-                    if p >= LEAST_COVERED:
+                    if p >= given.least_covered:
                         gain = p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))
                         if gain > most + 1e-9:
                             best, most = Condition(feature, above, threshold), gain
@@ -187,7 +208,8 @@ def _pruned(rows: DataFrame, rule: Rule, precision: float) -> Rule:
 
 
 def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
-    """stats with base_failed, kept and reason: the first rule that rejects, as text, `base` before all, else null."""
+    """stats with base_failed, kept and reason: the first rule that rejects, as text, `base` before all, else null. A feature
+    that has no value (no words, no lines) meets no condition; columns of these names are replaced, others stay."""
     reason = F.when(base_failed(), F.lit("base"))
     for rule in rules:
         reason = reason.when(holds(rule), F.lit(" and ".join(map(str, rule))))

@@ -75,20 +75,24 @@ QUERIES = {f.__name__: f for f in (
 
 
 def _license_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(n, " ".join(licenses.words(t))) for n, t in licenses.TEMPLATES)
+    values = ", ".join("({}, '{}', '{}')".format(i, n, " ".join(licenses.words(t))) for i, (n, t) in enumerate(licenses.TEMPLATES))
     grams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    t = licenses.THRESHOLD
     return rf"""
-WITH template AS (SELECT name, {grams('w')} AS g FROM (SELECT name, string_split(t, ' ') AS w FROM (VALUES {values}) v(name, t))),
-unit AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS u FROM documents
-  UNION ALL SELECT doc_id, coalesce(text, '') FROM documents
-  UNION ALL SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\n(?:[ \t\r\v\f]*\n)+')) FROM documents),
-sized AS (SELECT DISTINCT doc_id, {grams('w')} AS g FROM (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM unit) WHERE len(w) BETWEEN 2 AND 400),
-hit AS (
-  SELECT doc_id, name, max(2 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g))) AS dice FROM sized s, template t
-  WHERE 2 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) >= {licenses.THRESHOLD} GROUP BY ALL),
-best AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, first(name ORDER BY dice DESC, name) AS best_license, max(dice) AS best_dice FROM hit GROUP BY doc_id)
+WITH template AS (SELECT id, name, {grams('w')} AS g FROM (SELECT id, name, string_split(t, ' ') AS w FROM (VALUES {values}) v(id, name, t))),
+own AS (SELECT id, unnest(g) AS gram FROM template),
+word AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+gram AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM word)),
+hit AS (SELECT doc_id, id, i, 2000 * (row_number() OVER w - 1) - {round(t * 1000)} * i AS level FROM gram JOIN own USING (gram) WINDOW w AS (PARTITION BY doc_id, id ORDER BY i)),
+first AS (SELECT *, level <= coalesce(min(level) OVER (PARTITION BY doc_id, id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), level) AS begins FROM hit),
+part AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, id ORDER BY i) AS k FROM first),
+span AS (SELECT doc_id, id, min(i) AS lo, arg_max(i, level * 1000000 - i) AS hi FROM part GROUP BY doc_id, id, k),
+sized AS (SELECT s.doc_id, name, lo, hi + 1 AS hi, t.g AS own, {grams('w[lo:hi + 1]').replace('w[lo:hi + 1]', 'x')} AS g FROM (SELECT span.*, w[lo:hi + 1] AS x FROM span JOIN word USING (doc_id)) s JOIN template t USING (id)),
+hits AS (SELECT doc_id, name, lo, hi, len(own) AS size, 2 * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM sized),
+good AS (SELECT * FROM hits WHERE dice >= {t}),
+stays AS (SELECT doc_id, name, max(dice) AS dice FROM good g WHERE NOT EXISTS (SELECT 1 FROM good b WHERE b.doc_id = g.doc_id AND b.name <> g.name AND b.lo <= g.hi AND g.lo <= b.hi
+  AND (b.dice > g.dice OR b.dice = g.dice AND (b.size > g.size OR b.size = g.size AND b.name < g.name))) GROUP BY ALL),
+best AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, first(name ORDER BY dice DESC, name) AS best_license, max(dice) AS best_dice FROM stays GROUP BY doc_id)
 SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, best_dice FROM documents LEFT JOIN best USING (doc_id)"""
 
 

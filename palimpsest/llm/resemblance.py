@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import on_workers
-from .common import HEAVY_KEYS, bloom_pages, bloom_test, filter_bits, lookup, release, staged, text_or_empty
+from .common import bloom_pages, bloom_test, filter_bits, lookup, packed, release, staged, text_or_empty
 from .simhash import components, fingerprint
 from .simhash import links as fingerprint_links
 
@@ -132,26 +132,34 @@ def compared(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return on_workers(rows).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "label", "h").mapInArrow(run, "a long, b long")
 
 
-def first_cells(buckets: DataFrame) -> DataFrame:
+def first_cells(buckets: DataFrame, total: int) -> DataFrame:
     """Each text with the smallest text that shares a key with it; those of many texts are dealt out, each part with it."""
-    nearest = buckets.groupBy("h").agg(F.min("c").alias("k")).filter("k <> h")
-    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("k")) / CELL)
-    members = staged(nearest.select("k", F.pmod(F.xxhash64("h"), parts).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "h"), "cells")
+    nearest = staged(buckets.groupBy("h").agg(F.min("c").alias("k")).filter("k <> h"), "nearest")
+    sizes = nearest.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / CELL)).cast("long").alias("i")
+    members = staged(lookup(nearest, sizes, "k", "n", total).select("k", part, F.lit(0).cast("long").alias("j"), "h"), "cells")
+    release(nearest)
     return members.unionByName(members.select("k", "i", "j", F.col("k").alias("h")).distinct()).withColumn("label", F.col("h"))
 
 
-def second_cells(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of keys that hold several labels: pairs of blocks of CELL of them, but for pairs of one label."""
-    of_key = Window.partitionBy("k")
-    labelled = buckets.join(labels, buckets.h == labels.node, "left").select("k", "h", F.coalesce("label", "h").alias("label"))
-    mixed = labelled.withColumn("lo", F.min("label").over(of_key)).withColumn("hi", F.max("label").over(of_key)).filter("lo < hi")
-    at = F.row_number().over(of_key.orderBy("label", "h")) - 1
-    numbered = staged(mixed.select("k", "h", "label", F.floor(at / CELL).alias("block")), "numbered")
-    blocks = numbered.groupBy("k", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    one = blocks.select("k", F.col("block").alias("i"), F.col("lo").alias("ilo"), F.col("hi").alias("ihi"))
-    two = blocks.select("k", F.col("block").alias("j"), F.col("lo").alias("jlo"), F.col("hi").alias("jhi"))
-    pairs = one.join(two, "k").filter("i <= j AND least(ilo, jlo) < greatest(ihi, jhi)")
-    return pairs.select("k", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(numbered, ["k", "block"]).select("k", "i", "j", "h", "label")
+def second_cells(buckets: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """The texts of keys that hold several labels, in pairs of blocks of about CELL texts. A label of many texts has blocks of
+    its own, which aren't paired with each other; the others are dealt out by label. Cells are named (k, i, j)."""
+    labelled = staged(buckets.join(labels, buckets.h == labels.node, "left").select("k", "h", F.coalesce("label", "h").alias("label")), "labelled")
+    per = labelled.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
+    few = F.col("n") < CELL
+    of_key = per.groupBy("k").agg(F.count(F.lit(1)).alias("labels"), F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0)).alias("rest")).filter("labels > 1")
+    per = staged(per.join(of_key, "k"), "labels-of-keys")
+    deal = F.greatest(F.ceil(F.col("rest") / CELL), F.lit(1))
+    # a block is (own, part): the label and a part of its texts, or null and a part of the labels
+    own = F.when(~few, F.col("label")).alias("own")
+    placed = lookup(labelled, per, ["k", "label"], "n", total).select(
+        "k", "h", "label", own, F.when(few, F.pmod(F.xxhash64("label"), deal)).otherwise(F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / CELL))).cast("long").alias("part"))
+    rows = staged(placed.withColumn("block", F.xxhash64("own", "part")), "blocks")
+    blocks = rows.select("k", "own", "block").distinct()
+    pairs = blocks.select("k", F.col("own").alias("a"), F.col("block").alias("i")).join(blocks.select("k", F.col("own").alias("b"), F.col("block").alias("j")), "k")
+    pairs = pairs.filter("i <= j and (a is null or b is null or a <> b)")
+    return pairs.select("k", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(rows, ["k", "block"]).select("k", "i", "j", "h", "label")
 
 
 def by_fingerprint(classes: DataFrame, errors: int) -> DataFrame:
@@ -170,18 +178,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, er
     text and doc_id of the row that stays: the smallest doc_id (null last), then the smallest hash."""
     all_keys = sketches(docs, words).groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("pal_n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = staged(all_keys, "classes")
-    of_key = Window.partitionBy("k")
     keyed = classes.select("h", F.explode("keys").alias("k"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(of_key)).withColumn("c", F.min("h").over(of_key)).filter("n > 1")
-    buckets = staged(shared.select("k", "h", "c"), "buckets")
-    sets = staged(sets_of(docs, staged(buckets.select("h").distinct(), "wanted"), words), "sets")
-    links = staged(compared(first_cells(buckets), sets, similarity).unionByName(by_fingerprint(classes, errors)), "links")
-    more = staged(compared(second_cells(buckets, components(links)), sets, similarity), "links")
+    shared = staged(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("c")).filter("n > 1"), "shared")
+    total = BANDS * classes.count()
+    buckets = staged(lookup(keyed, shared, "k", "n", total).select("k", "h", "c"), "buckets")
+    wanted = staged(buckets.select("h").distinct(), "wanted")
+    sets = staged(sets_of(docs, wanted, words), "sets")
+    links = staged(compared(first_cells(buckets, total), sets, similarity).unionByName(by_fingerprint(classes, errors)), "links")
+    joined = components(links)
+    more = staged(compared(second_cells(buckets, joined, total), sets, similarity), "links")
+    release(joined, wanted, shared)
     labels = components(links.unionByName(more))
-    release(sets)
-    release(buckets)
+    release(sets, buckets, links, more)
     labelled = staged(classes.join(labels, classes.h == labels.node, "left").select("h", "first", "pal_n", F.coalesce("label", "h").alias("label")), "labels")
-    release(classes)
+    release(classes, labels)
     best = F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("h"))).alias("best")
     whole = staged(labelled.groupBy("label").agg(best, F.sum("pal_n").alias("rows"), F.count(F.lit(1)).alias("pal_m")).filter("rows > 1"), "whole")
     return lookup(labelled, whole, "label", "pal_m", labelled.count()).select("h", "pal_n", F.col("best.h").alias("keep_h"), F.col("best.first").alias("keep_id"))
@@ -191,16 +201,17 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors
     """One row of each component of texts linked by this similarity or more, or by so many bits of SimHash or fewer, whole.
 
     Rows are told apart by text and doc_id, so null and repeated doc_ids are rows like others; of rows alike in both, any
-    one stays. Most rows don't shuffle: a bounded Bloom filter of the texts that go tells which rows may have to.
+    one stays. Null texts count as empty, and texts without a word are alike. An empty table gives an empty result; other
+    columns stay, whatever their names; texts of any length count whole. Most rows don't shuffle: a bounded Bloom filter of
+    the texts that go tells which rows may have to.
     """
     found = near_duplicates(docs, words, similarity, errors).filter("h <> keep_h or pal_n > 1")
     gone = staged(found.select(F.col("h").alias("pal_h"), "pal_n", F.col("keep_h").alias("pal_keep_h"), F.col("keep_id").alias("pal_keep_id")), "gone")
     bits = filter_bits(gone.count())
     pages = staged(bloom_pages(gone.select(F.col("pal_h").alias("h")), bits, 1), "gone-filter")
-    tested = bloom_test(docs.withColumn("pal_h", F.xxhash64(text_or_empty())), "pal_h", pages, bits, "pal_maybe")
-    maybe = tested.filter("pal_maybe")
-    total = maybe.count()
-    light = F.col("pal_n") <= max(total / HEAVY_KEYS, 1.0)
-    clean = maybe.join(F.broadcast(gone.filter(~light)), "pal_h", "left_anti").join(gone.filter(light), "pal_h", "left_anti")
-    one = lookup(maybe, gone.filter("pal_h = pal_keep_h"), "pal_h", "pal_n", total).filter(F.col("doc_id").eqNullSafe(F.col("pal_keep_id"))).dropDuplicates(["pal_h"])
-    return tested.filter(~F.col("pal_maybe")).select(docs.columns).unionByName(clean.select(docs.columns)).unionByName(one.select(docs.columns))
+    tested = bloom_test(packed(docs, pal_id=F.col("doc_id"), pal_h=F.xxhash64(text_or_empty())), "pal_h", pages, bits, "pal_maybe")
+    maybe = staged(tested.filter("pal_maybe").select("row", "pal_id", "pal_h"), "candidates")
+    kept = lookup(maybe, gone, "pal_h", "pal_n", maybe.count(), "left")
+    one = kept.filter((F.col("pal_h") == F.col("pal_keep_h")) & F.col("pal_id").eqNullSafe(F.col("pal_keep_id"))).dropDuplicates(["pal_h"])
+    alone = kept.filter("pal_n is null")  # false alarms
+    return tested.filter("not pal_maybe").select("row.*").unionByName(alone.select("row.*")).unionByName(one.select("row.*"))

@@ -1,7 +1,7 @@
 """Sharding by a Feistel permutation of global row numbers; DataFrame functions only.
 
 Rows get gapless numbers in an order that depends on their values alone (bucket of a hash, then doc_id, checksum,
-size). A permutation of [0, n) moves number i to p(i); shard = p(i) mod k, slot = p(i) div k. Shard and slot of a
+size). Rows alike in all of these are counted, numbered as one and dealt out again, so that none of them meet. A permutation of [0, n) moves number i to p(i); shard = p(i) mod k, slot = p(i) div k. Shard and slot of a
 number can thus be computed anywhere from (n, seed), and row counts of shards differ by one at most.
 
 The permutation is an alternating Feistel network over Z_a x Z_b with a * b just above n, made exact by cycle
@@ -20,9 +20,11 @@ from pyspark.sql import Window as W
 from .common import staged, text_or_empty
 
 ROUNDS = 6
-#: Buckets in which rows are numbered: their counts are gathered on the driver, so their number is bounded.
-MAX_BUCKETS = 4096
+#: Buckets in which rows are numbered: their counts are gathered on the driver, so their number is bounded (2 MB).
+MAX_BUCKETS = 1 << 17
 ROWS_A_BUCKET = 50_000
+#: Rows alike that one row of a step stands for; those of more rows are dealt out in parts.
+PART = 10_000
 
 
 def domain(n: int) -> tuple[int, int]:
@@ -53,16 +55,23 @@ def with_permuted(df: DataFrame, number: str, out: str, n: int, seed: int) -> Da
 
 
 def numbered(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """rows with a gapless column pal_row from 0, set by the values of keys; rows alike in all of them are exchangeable."""
+    """The keys of all rows with a gapless column pal_row from 0, set by their values; rows alike are exchangeable.
+
+    Rows alike are counted with map-side combining; a bucket's window runs over distinct ones."""
     buckets = max(1, min(MAX_BUCKETS, -(-n // ROWS_A_BUCKET)))
-    rows = rows.withColumn("pal_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    alike = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("pal_n"))
+    alike = staged(alike.withColumn("pal_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "alike")
     offsets, at = [], 0
-    for r in sorted(rows.groupBy("pal_bucket").count().collect()):
+    for r in sorted(alike.groupBy("pal_bucket").agg(F.sum("pal_n").alias("n")).collect()):
         offsets.append((r["pal_bucket"], at))
-        at += r["count"]
+        at += r["n"]
     offset = F.broadcast(rows.sparkSession.createDataFrame(offsets, "pal_bucket int, pal_offset long"))
-    within = F.row_number().over(W.partitionBy("pal_bucket").orderBy(*keys)) - 1
-    return rows.withColumn("pal_within", within).join(offset, "pal_bucket").withColumn("pal_row", F.col("pal_offset") + F.col("pal_within")).drop("pal_bucket", "pal_within", "pal_offset")
+    before = F.sum("pal_n").over(W.partitionBy("pal_bucket").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)) - F.col("pal_n")
+    placed = alike.withColumn("pal_before", before).join(offset, "pal_bucket").select(*keys, "pal_n", (F.col("pal_offset") + F.col("pal_before")).alias("pal_row"))
+    few = placed.filter("pal_n = 1").drop("pal_n")
+    parts = placed.filter("pal_n > 1").select(*keys, "pal_row", "pal_n", F.explode(F.expr(f"sequence(0L, pal_n - 1, {PART}L)")).alias("pal_at"))
+    parts = parts.repartition(*keys, "pal_at").select(*keys, "pal_row", F.explode(F.expr(f"sequence(pal_at, least(pal_at + {PART - 1}, pal_n - 1))")).alias("pal_at"))
+    return few.unionByName(parts.select(*keys, (F.col("pal_row") + F.col("pal_at")).alias("pal_row")))
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 20240229) -> DataFrame:
@@ -70,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20240229) -> DataFrame:
 
     Row counts of shards differ by one at most. Null texts count as empty; null and repeated doc_ids are rows like
     others. Rows alike in doc_id, checksum and size are exchangeable. An empty table gives an empty result; other
-    columns are ignored. The text itself isn't shuffled: only doc_id, size and checksum are.
+    columns are ignored. Texts of any length count whole and aren't shuffled: only doc_id, size and checksum are.
     """
     rows = staged(docs.select("doc_id", (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"), F.crc32(text_or_empty()).alias("text_crc32")), "sizes")
     n = rows.count()
