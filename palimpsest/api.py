@@ -9,20 +9,32 @@ import sys
 from .model import APPEND_STATUS, READ_STATUS
 from .store import Store, StoreError
 
+# The body's limit, field names, paths and the confirmation of the protocol.
 MAX_BODY = 8 << 20
 APPEND_FIELDS = {"thread_id", "checkpoint_id", "checkpoint_no", "parent_checkpoint_id", "messages"}
 
 
 def route(store: Store, method: str, path: str, body: str = "") -> tuple[int, str]:
     """Status and answer of a request; errors answer as JSON with their kind."""
+    status, answer = _route(store, method, path, body)
+    store._count(http_requests=1, http_errors=int(status >= 400))
+    return status, answer
+
+
+def _route(store: Store, method: str, path: str, body: str) -> tuple[int, str]:
     path, _, query = path.partition("?")
     if len(body.encode()) > MAX_BODY:
         return 413, _error("TooLarge", "the body is too large")
     try:
-        given = json.loads(body) if body else {}
+        given = json.loads(body) if body and path != "/api/import" else {}
         if not isinstance(given, dict):
             raise StoreError("Invalid", "the body must be a JSON object")
         match method, path:
+            case "GET", "/":
+                return 200, _page(store)
+            case "POST", "/api/import":  # the body is JSON lines
+                lines = [(i, x) for i, x in enumerate(body.split("\n"), 1) if x.strip()]
+                return 200, json.dumps(store.import_lines(store.spark.createDataFrame(lines, "line_no long, line string")))
             case "GET", "/api/health":
                 return 200, json.dumps({"status": "ok"})
             case "GET", "/api/stats":
@@ -33,7 +45,7 @@ def route(store: Store, method: str, path: str, body: str = "") -> tuple[int, st
             case "GET", "/metrics":
                 return 200, store.metrics_text()
             case "GET", "/api/export":
-                return 200, json.dumps([json.loads(r["state"]) for r in store.states().orderBy("thread_id", "checkpoint_id").collect()])
+                return 200, "[" + ",".join(exported(store)) + "]"
             case "POST", "/api/checkpoints":
                 _only(given, APPEND_FIELDS)
                 if not isinstance(given.get("messages"), list):
@@ -61,6 +73,18 @@ def route(store: Store, method: str, path: str, body: str = "") -> tuple[int, st
         return (APPEND_STATUS if path == "/api/checkpoints" else READ_STATUS).get(e.kind, 500), _error(e.kind, str(e))
 
 
+def exported(store: Store):
+    """All states as JSON texts, in order of their keys, a partition at a time: what a service would stream. Large stores
+    export() to files."""
+    for r in store.states().orderBy("thread_id", "checkpoint_id").toLocalIterator():
+        yield r["state"]
+
+
+def _page(store: Store) -> str:
+    cells = "".join(f"<tr><td>{k}</td><td>{v}</td></tr>" for k, v in (store.stats() | store.geometry().first().asDict()).items())
+    return f"<!doctype html><title>palimpsest</title><h1>Checkpoints</h1><table>{cells}</table>"
+
+
 def _error(kind: str, message: str) -> str:
     return json.dumps({"error": message, "kind": kind})
 

@@ -166,15 +166,25 @@ class HistoryStore:
         new = self.log().filter("outcome = 'Committed' and octet_length(insert) > 0").select("history_id", F.col("seq").alias("leaf"), F.col("insert").alias("payload"))
         return self.sealed().filter("op = 'leaf'").select("history_id", F.col("seq").alias("leaf"), F.col("insert").alias("payload")).unionByName(new)
 
-    def receipts(self) -> DataFrame:
+    def _of(self, history_id: int) -> DataFrame:
+        """One history's steps: a read of its folder alone."""
+        return self.steps().filter((F.col("bucket") == history_id % BUCKETS) & (F.col("history_id") == history_id)).drop("bucket")
+
+    def receipts(self, history_id: int | None = None) -> DataFrame:
         """(history_id, request_id, state): Active or Retired; those beyond the horizon are forgotten."""
-        return history.snapshot(self.steps().drop("bucket")).filter("op = 'receipt'").select("history_id", "request_id", F.when(F.col("target_seq").isNull(), "Retired").otherwise("Active").alias("state"))
+        return history.receipts(self.steps().drop("bucket") if history_id is None else self._of(history_id))
 
     def receipt_status(self, history_id: int, request_id: bytes) -> str:
-        own = self.receipts().filter((F.col("history_id") == history_id) & (F.col("request_id") == F.lit(request_id)))
-        found = own.first()
+        found = self.receipts(history_id).filter(F.col("request_id") == F.lit(request_id)).first()
         return found["state"] if found else "Unknown"
 
+    def receipt_count(self, history_id: int) -> int:
+        return self.receipts(history_id).count()
+
+    def retired_requests(self, history_id: int) -> list[bytes]:
+        """In order of their bytes; at most as many as the horizon."""
+        return [bytes(r["request_id"]) for r in self.receipts(history_id).filter("state = 'Retired'").orderBy("request_id").collect()]
+
     def receipt_capacity(self) -> int:
         return RECEIPTS
 
@@ -182,6 +192,19 @@ class HistoryStore:
         """requests (history_id, seq, off, n) with bytes_hex, or error NotFound, VersionExpired or OutOfRange."""
         return history.read(self.versions(), self.leaves(), requests)
 
+    def version_of(self, history_id: int, binding: bytes) -> int | None:
+        """The version that a binding names, or None."""
+        found = self.versions().filter((F.col("history_id") == history_id) & (F.col("binding") == F.lit(binding))).first()
+        return found["seq"] if found else None
+
+    def binding_of(self, history_id: int, version: int) -> bytes | None:
+        found = self.versions().filter((F.col("history_id") == history_id) & (F.col("seq") == version)).first()
+        return bytes(found["binding"]) if found and found["binding"] is not None else None
+
+    def read_bound(self, requests: DataFrame) -> DataFrame:
+        """requests (history_id, binding, off, n) with bytes_hex, or error NotFound, VersionExpired or OutOfRange."""
+        return history.read_bound(self.versions(), self.leaves(), requests)
+
     def content(self, history_id: int, version: int) -> bytes:
         size = self.versions().filter((F.col("history_id") == history_id) & (F.col("seq") == version)).select("len").first()
         if size is None:

@@ -22,6 +22,14 @@ def state(messages: Column, identity: Column | None = None) -> Column:
     return F.concat(F.lit(OPEN), body) if identity is None else F.concat(F.lit(IDENTITY_OPEN), identity, F.lit(IDENTITY_CLOSE), body)
 
 
+def framed(body: Column, identity: Column, result: Column) -> Column:
+    """The state of all three channels: messages joined by commas, an identity and a result (JSON texts, null if there is
+    none). A state without the last two is that of its messages alone."""
+    plain = F.concat(F.lit(OPEN), body, F.lit(CLOSE))
+    tail = F.coalesce(F.concat(F.lit('],"result":'), result, F.lit("}")), F.lit(CLOSE))
+    return F.when(identity.isNull() & result.isNull(), plain).otherwise(F.concat(F.lit(IDENTITY_OPEN), F.coalesce(identity, F.lit("null")), F.lit(IDENTITY_CLOSE), body, tail))
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 

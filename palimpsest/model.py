@@ -29,6 +29,9 @@ HANDS_MESSAGE = T.ArrayType(T.StructType([T.StructField(n, S) for n in ("role",
 EXPORT_FORMAT, EXPORT_VERSION = "checkpoint-export", 1
 #: Receipts that a store remembers, and bounds of identifiers and list sizes.
 RECEIPTS, MAX_BINDING, RECENT_DEFAULT, RECENT_MOST = 4096, 4096, 100, 1000
-#: Error kinds and the HTTP status an API would answer a read or an append with.
-READ_STATUS = {"NotFound": 404, "Deleted": 404, "TooLarge": 413, "Invalid": 400, "Conflict": 409, "Internal": 500}
+#: Error kinds, and the HTTP status an API answers a read or an append with.
+READ_STATUS = {
+    "NotFound": 404, "Deleted": 404, "TooLarge": 413, "Invalid": 400, "Conflict": 409, "RequestConflict": 409, "Precondition": 409, "OutOfRange": 416,
+    "LockBusy": 503, "Capacity": 507, "Corruption": 500, "Internal": 500,
+}
 APPEND_STATUS = READ_STATUS | {"NotFound": 400}

@@ -84,3 +84,9 @@ def verify(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     e = expected.select(*keys, F.col("state_len").alias("l2"), F.col("state_sha256").alias("h2"))
     bad = ~(F.col("l1").eqNullSafe(F.col("l2")) & F.col("h1").eqNullSafe(F.col("h2")))
     return f.join(e, keys, "full").agg(F.count(F.lit(1)).alias("checked"), F.count_if(bad).alias("failures"))
+
+
+def against(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: expected (keys, want), how many of them actual (keys, got) lacks, and how many it has otherwise."""
+    j = expected.join(actual.withColumn("there", F.lit(True)), keys, "left")
+    return j.agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_if(F.col("there") & ~F.col("got").eqNullSafe(F.col("want"))).alias("different"))

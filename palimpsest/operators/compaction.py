@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import forest
+from ..scratch import dropped, written
 
 
 def keep_ancestry(versions: DataFrame, live: DataFrame) -> DataFrame:
     """versions (thread, node, parent) that are live (thread, node) or above a live one: parents stay as they are.
 
-    A node is above a live one if its own subtree holds one. Edges are turned round a level at a time by doubling:
-    each live node's way to its root is folded to the list of its nodes, which is then exploded."""
-    ways = forest.fold_to_root(versions, F.array("node"), lambda a, b: F.concat(a, b))
-    kept = ways.join(live.select("thread", "node"), ["thread", "node"], "left_semi").select("thread", F.explode("value").alias("node")).distinct()
+    Round r adds to the kept what stands 2^r steps above them, so that a depth of d takes log2(d) rounds, and no round's
+    table holds more rows than there are versions."""
+    jump = written(versions.select("thread", "node", F.col("parent").alias("up")).filter("up is not null"))
+    kept = written(live.select("thread", "node").distinct())
+    for _ in range(64):  # rounds that any number of versions could need; cycles end here too
+        if jump.isEmpty():
+            break
+        above = kept.join(jump, ["thread", "node"]).select("thread", F.col("up").alias("node"))
+        more = written(kept.unionByName(above).distinct())
+        further = jump.select("thread", F.col("node").alias("up"), F.col("up").alias("further"))
+        longer = written(jump.join(further, ["thread", "up"]).select("thread", "node", F.col("further").alias("up")))
+        dropped(kept)
+        dropped(jump)
+        kept, jump = more, longer
     return versions.join(kept, ["thread", "node"], "left_semi")
 
 

@@ -144,6 +144,21 @@ def fill_partitions(profiles: DataFrame, partitions: list[tuple[str, int, int]],
     return rows.withColumn("partition", label).filter("partition is not null").drop("rank_", "upto")
 
 
+def joined_back(chains: DataFrame, blobs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """By keys: lines, text and logical_bytes of chains (keys, order, digest) whose contents are blobs (digest, blob).
+
+    A digest that many lines share is looked up as one row of blobs; AQE splits its partition."""
+    j = chains.join(blobs, "digest")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "blob"))), lambda x: x["blob"]), "\n")
+    return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"), text.alias("text"), F.sum(F.octet_length("blob").cast("long")).alias("logical_bytes"))
+
+
+def inserted_if_absent(held: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
+    """held (key, order) with what batch brings: of each key that held lacks the first row, inserted; held rows stay."""
+    fresh = batch.groupBy(key).agg(F.min(order).alias(order)).join(held.select(key), key, "left_anti")
+    return held.withColumn("inserted", F.lit(False)).unionByName(fresh.withColumn("inserted", F.lit(True)))
+
+
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, min, p25 to p99 by the nearest index, max."""
     marks = {f"p{int(100 * f)}": (lambda n, f=f: stats.nearest(n, f)) for f in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}

@@ -74,6 +74,12 @@ def prune(nodes: DataFrame, target: Column, seq: str) -> tuple[DataFrame, DataFr
     return left.withColumn("ordinal", (F.row_number().over(W.partitionBy("thread").orderBy(seq)) - 1).cast("long")), gone
 
 
+def overlaid(base: DataFrame, hot: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Live rows (thread, node, ...): a sealed base, rows of a hot suffix in place of those of the same key, less tombstones."""
+    key = ["thread", "node"]
+    return base.join(hot.select(*key), key, "left_anti").unionByName(hot).join(tombstones.select(*key), key, "left_anti")
+
+
 def nearest_marked(nodes: DataFrame, marked: Column) -> DataFrame:
     """(thread, node, value): each node's nearest marked ancestor, itself included, or null."""
     return fold_to_root(nodes, F.when(marked, F.col("node")), lambda a, b: F.coalesce(b, a))

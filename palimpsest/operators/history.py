@@ -12,11 +12,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..model import MAX_BINDING, OPERATION, OUTCOME, RECEIPTS, STEP
+from ..scratch import written
 from ..shipping import on_workers
 
 Pieces = list[tuple[int, int, int]]
@@ -227,7 +228,7 @@ def as_steps(log: DataFrame, phase: int = 1) -> DataFrame:
     return log.select(*[F.col(n) if n in OPERATION.fieldNames() else F.lit(phase if n == "phase" else None).cast(f.dataType).alias(n) for n, f in ((f.name, f) for f in STEP)])
 
 
-def _fold(steps: DataFrame, digests: bool, out: str) -> DataFrame:
+def _fold(steps: DataFrame, digests: bool, out: str, horizon: int = RECEIPTS) -> DataFrame:
     schema = STEP if out == "snapshot" else OUTCOME
     arrow = _arrow(schema)
 
@@ -239,7 +240,7 @@ def _fold(steps: DataFrame, digests: bool, out: str) -> DataFrame:
                 if state is None or state.history != step["history_id"]:
                     if state is not None and out == "snapshot":
                         rows.extend(state.snapshot())
-                    state = Replay(step["history_id"])
+                    state = Replay(step["history_id"], horizon)
                 if step["phase"] == 0:
                     state.restore(step)
                 elif out == "snapshot":
@@ -256,11 +257,11 @@ def _fold(steps: DataFrame, digests: bool, out: str) -> DataFrame:
     return on_workers(steps).repartition("history_id").sortWithinPartitions("history_id", "phase", "seq").mapInArrow(run, schema)
 
 
-def replay(log: DataFrame, digests: bool = True) -> DataFrame:
+def replay(log: DataFrame, digests: bool = True, horizon: int = RECEIPTS) -> DataFrame:
     """The outcome of every operation (OUTCOME), by history in order of seq.
 
     A task streams its histories in sorted order and keeps one history's versions at a time, as pieces."""
-    return _fold(as_steps(log, 2), digests, "outcomes")
+    return _fold(as_steps(log, 2), digests, "outcomes", horizon)
 
 
 def resume(steps: DataFrame, log: DataFrame, digests: bool = True) -> DataFrame:
@@ -268,26 +269,28 @@ def resume(steps: DataFrame, log: DataFrame, digests: bool = True) -> DataFrame:
     return _fold(steps.unionByName(as_steps(log, 2)), digests, "outcomes")
 
 
-def snapshot(steps: DataFrame) -> DataFrame:
+def snapshot(steps: DataFrame, horizon: int = RECEIPTS) -> DataFrame:
     """Steps that restore what steps lead to, without the bytes that only expired versions show."""
-    return _fold(steps, False, "snapshot")
+    return _fold(steps, False, "snapshot", horizon)
 
 
-def dense_ids(df: DataFrame, seq: str, out: str, buckets: int = 1024) -> DataFrame:
-    """df with a dense id from 0 in order of seq (a long): ranges of seq are numbered apart and shifted by their counts,
-    so that no task sorts everything. At most `buckets` counts reach the driver."""
-    bounds = df.agg(F.min(seq), F.max(seq)).first()
-    if bounds[0] is None:
-        return df.withColumn(out, F.lit(None).cast("long"))
-    width = (bounds[1] - bounds[0]) // buckets + 1
-    parts = df.withColumn("range_", F.expr(f"({seq} - {bounds[0]}L) div {width}L"))
+def receipts(steps: DataFrame, horizon: int = RECEIPTS) -> DataFrame:
+    """(history_id, request_id, state): the receipts that a history still knows, Active or Retired."""
+    return snapshot(steps, horizon).filter("op = 'receipt'").select("history_id", "request_id", F.when(F.col("target_seq").isNull(), "Retired").otherwise("Active").alias("state"))
+
+
+def dense_ids(df: DataFrame, seq: str, out: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """df with a dense id from 0 in order of seq, then of the columns `then`: rows are dealt out by sampled ranges of these,
+    sorted within a range, and numbered there; a range's numbers are shifted by the counts of those before it. No task sorts
+    everything, however seqs lie, and one count a range reaches the driver."""
+    ranged = df.repartitionByRange(seq, *then).sortWithinPartitions(seq, *then).withColumn("i_", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumn("range_", F.shiftright("i_", 33)).withColumn("i_", F.col("i_").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))))
     at, offsets = 0, []
-    for r in sorted(parts.groupBy("range_").count().collect()):
+    for r in sorted(ranged.groupBy("range_").count().collect()):
         offsets.append((r["range_"], at))
         at += r["count"]
     shift = F.broadcast(df.sparkSession.createDataFrame(offsets, "range_ long, shift_ long"))
-    within = F.row_number().over(W.partitionBy("range_").orderBy(seq)) - 1
-    return parts.withColumn("n_", within).join(shift, "range_").withColumn(out, F.col("shift_") + F.col("n_")).drop("range_", "n_", "shift_")
+    return ranged.join(shift, "range_").withColumn(out, F.col("shift_") + F.col("i_")).drop("range_", "i_", "shift_")
 
 
 def classify_requests(requests: DataFrame, key: str = "request_id", seq: str = "seq", digest: str = "digest") -> DataFrame:
@@ -327,6 +330,38 @@ def reachable(versions: DataFrame) -> DataFrame:
     return versions.filter("retained").select("history_id", F.explode("pieces").alias("p")).groupBy("history_id", F.col("p.leaf").alias("leaf")).agg(F.min("p.off").alias("lo"), F.max(F.col("p.off") + F.col("p.len")).alias("hi"))
 
 
+def work(outcomes: DataFrame, log: DataFrame) -> DataFrame:
+    """By history: operations seen, versions and leaves allocated, payload bytes written and logical bytes made. Sums saturate
+    at the largest unsigned 64-bit number instead of overflowing."""
+    sizes = log.select("history_id", "seq", F.coalesce(F.octet_length("insert"), F.lit(0)).cast("long").alias("bytes_"))
+    done = F.col("outcome").isin("Committed", "Forked")
+    wrote = F.when(F.col("outcome") == "Committed", F.col("bytes_")).otherwise(0)
+    return outcomes.join(sizes, ["history_id", "seq"]).groupBy("history_id").agg(
+        F.count(F.lit(1)).alias("operations"), F.count_if(done).alias("versions_allocated"), F.count_if(wrote > 0).alias("leaves_allocated"),
+        saturating(F.sum(wrote.cast("decimal(38,0)"))).alias("payload_bytes_written"), saturating(F.sum(F.when(done, F.col("len")).otherwise(0).cast("decimal(38,0)"))).alias("logical_bytes"))
+
+
+def saturating(total: Column) -> Column:
+    """A sum as an unsigned 64-bit counter would hold it: at most 2^64 - 1."""
+    return F.least(total, F.lit(str((1 << 64) - 1)).cast("decimal(38,0)")).cast("decimal(20,0)")
+
+
+def read_bound(versions: DataFrame, leaves: DataFrame, requests: DataFrame) -> DataFrame:
+    """read() by version bindings: versions has a column binding (unique in a history), requests (history_id, binding, off, n).
+    A binding that no version has is NotFound."""
+    known = versions.filter("binding is not null").select("history_id", "binding", "seq")
+    asked = requests.join(known, ["history_id", "binding"], "left")
+    got = read(versions, leaves, asked.filter("seq is not null").select("history_id", "seq", "off", "n").distinct())
+    out = asked.join(got, ["history_id", "seq", "off", "n"], "left")
+    return out.select("history_id", "binding", "off", "n", "bytes_hex", F.when(F.col("seq").isNull(), "NotFound").otherwise(F.col("error")).alias("error"))
+
+
+def route_index(keys: DataFrame, key: str = "key") -> DataFrame:
+    """keys (distinct) with pos: their place in the order of (hash, key), in which an index looks them up. The hash is the
+    SHA-256 of the key (hex)."""
+    return dense_ids(keys.withColumn("hash", F.sha2(F.encode(F.col(key).cast("string"), "UTF-8"), 256)), "hash", "pos", then=(key,))
+
+
 def collect_garbage(versions: DataFrame, leaves: DataFrame) -> DataFrame:
     """One row per history: leaves and bytes before, after and reclaimed. leaves: (history_id, leaf, size)."""
     live = leaves.join(reachable(versions), ["history_id", "leaf"], "left").withColumn("live", F.col("lo").isNotNull())
@@ -345,12 +380,15 @@ def repack(leaves: DataFrame, keep: DataFrame) -> DataFrame:
 def read(versions: DataFrame, leaves: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (history_id, seq, off, n) with bytes (hex), or error NotFound, VersionExpired or OutOfRange.
 
-    leaves: (history_id, leaf, payload). Pieces outside a range are dropped before payloads are joined."""
+    leaves: (history_id, leaf, payload). Where pieces begin is a running sum over rows; those outside a range are dropped
+    before payloads are joined."""
     v = versions.select("history_id", "seq", "len", "retained", "pieces")
     q = requests.join(v, ["history_id", "seq"], "left")
     error = F.when(F.col("len").isNull(), "NotFound").when(~F.col("retained"), "VersionExpired").when((F.col("off") < 0) | (F.col("n") < 0) | (F.col("off") + F.col("n") > F.col("len")), "OutOfRange")
-    starts = F.expr("transform(pieces, (p, i) -> named_struct('i', i, 'leaf', p.leaf, 'off', p.off, 'len', p.len, 'st', aggregate(slice(pieces, 1, i), 0L, (s, x) -> s + x.len)))")
-    hit = q.withColumn("error", error).filter("error is null").select("history_id", "seq", "off", "n", F.explode(starts).alias("p"))
+    asked = q.withColumn("error", error).filter("error is null").select("history_id", "seq", "off", "n", F.posexplode("pieces").alias("i", "p"))
+    so_far = W.partitionBy("history_id", "seq", "off", "n").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    asked = asked.withColumn("st", F.sum("p.len").over(so_far) - F.col("p.len"))
+    hit = asked.withColumn("p", F.struct("i", F.col("p.leaf").alias("leaf"), F.col("p.off").alias("off"), F.col("p.len").alias("len"), "st")).drop("i", "st")
     hit = hit.filter((F.col("p.st") < F.col("off") + F.col("n")) & (F.col("p.st") + F.col("p.len") > F.col("off"))).withColumn("leaf", F.col("p.leaf"))
     begin = F.greatest(F.col("off") - F.col("p.st"), F.lit(0).cast("long"))
     size = F.least(F.col("off") + F.col("n") - F.col("p.st"), F.col("p.len")) - begin

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import canon, stats
+from ..model import READ_STATUS
 from ..operators import checkpoints, compaction, corpus, evidence, forest, history
 from ..scratch import written
-from ..sources import jsonl, metrics
+from ..sources import files, jsonl, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +65,29 @@ def state_lengths(spark, sf_dir):
     return checkpoints.state_lengths(chains(spark, sf_dir), KEYS, "checkpoint_no").select("thread_id", "checkpoint_no", "state_len")
 
 
+@query("""WITH msg AS (SELECT conv_id, turn, text, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS message FROM conversations),
+st AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '{"identity":{"conv":' || conv_id || '},"messages":[]}'
+    WHEN 1 THEN '{"identity":null,"messages":[' || string_agg(message, ',') OVER w || '],"result":' || strlen(text) || '}'
+    ELSE '{"messages":[' || string_agg(message, ',') OVER w || ']}' END AS state FROM msg WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id AS thread_id, turn AS checkpoint_no, strlen(state) AS state_len, sha256(state) AS state_sha256 FROM st""")
+def channel_states(spark, sf_dir):
+    """States of three channels: identities alone, messages alone, messages with a result."""
+    rows, kind = chains(spark, sf_dir), F.col("thread_id") % 3
+    body = F.array_join(F.collect_list(F.when(kind > 0, F.col("message"))).over(checkpoints.chain(KEYS, "checkpoint_no")), ",")
+    identity = F.when(kind == 0, F.concat(F.lit('{"conv":'), "thread_id", F.lit("}")))
+    s = rows.withColumn("state", canon.framed(body, identity, F.when(kind == 1, F.octet_length("text").cast("string"))))
+    return s.select("thread_id", "checkpoint_no", F.octet_length("state").cast("long").alias("state_len"), F.sha2("state", 256).alias("state_sha256"))
+
+
+@query("""SELECT a.lang AS instance_id, a.doc_id AS attempt_id, sha256('{"attempt_id":' || a.doc_id || ',"instance_id":"' || a.lang || '","solved":' || coalesce(s.solved, false) || ',"source_row_fingerprint":"' || sha256(a.text) || '","tip_checkpoint_id":"' || a.doc_id || '-' || len(string_split(a.text, chr(10))) || '"}') AS line_sha256
+FROM documents a LEFT JOIN (SELECT doc_id, max(quality) = 1 AS solved FROM labels GROUP BY 1) s USING (doc_id)""")
+def attempt_refs(spark, sf_dir):
+    """The sidecar of attempts: each with its tip checkpoint."""
+    a = attempts(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("attempt_id"), F.sha2("text", 256).alias("source_row_fingerprint")), "attempt_id")
+    a = a.withColumn("tip_checkpoint_id", F.concat_ws("-", "attempt_id", F.size("messages")))
+    return a.select("instance_id", "attempt_id", F.sha2(files.attempt_ref(a), 256).alias("line_sha256"))
+
+
 def _requests(rows: DataFrame) -> DataFrame:
     """Three ranges of each thread: near its begin, of no length, and beyond any end."""
     return rows.select("thread_id").distinct().select("thread_id", F.explode(F.array(
@@ -94,11 +118,14 @@ def list_recent(spark, sf_dir):
     return checkpoints.recent(rows, ["thread_id", "checkpoint_no"], [F.desc("thread_id"), F.desc("checkpoint_no")])
 
 
-@query("SELECT conv_id AS thread_id, CASE WHEN conv_id % 5 = 0 THEN 'Deleted' ELSE 'Found' END AS status FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT -5, 'NotFound'")
+@query("""SELECT conv_id AS thread_id, turn AS checkpoint_no, CASE WHEN conv_id % 5 = 0 AND turn >= 2 THEN 'Deleted' ELSE 'Found' END AS status FROM conversations
+UNION ALL SELECT DISTINCT conv_id, turn + 100, 'NotFound' FROM conversations""")
 def lookup_status(spark, sf_dir):
-    threads = chains(spark, sf_dir).select("thread_id").distinct()
-    asked = threads.unionByName(spark.range(1).select(F.lit(-5).cast("long").alias("thread_id")))
-    return checkpoints.lookup(threads, threads.filter("thread_id % 5 = 0"), asked, KEYS)
+    """Every checkpoint and as many that were never there, where the threads of some were cut behind their second turn."""
+    rows = chains(spark, sf_dir).select("thread_id", "checkpoint_no")
+    gone = rows.filter("thread_id % 5 = 0 and checkpoint_no >= 2")
+    asked = rows.unionByName(rows.select("thread_id", (F.col("checkpoint_no") + 100).alias("checkpoint_no")))
+    return checkpoints.lookup(rows.join(gone, ["thread_id", "checkpoint_no"], "left_anti"), gone, asked, ["thread_id", "checkpoint_no"])
 
 
 @query(CHAINS + "SELECT count(*) AS checked, count(*) FILTER (WHERE checkpoint_no = 3) AS failures FROM st")
@@ -109,12 +136,14 @@ def verify_counts(spark, sf_dir):
     return checkpoints.verify(s, want, ["thread_id", "checkpoint_no"])
 
 
-@query("""SELECT count(*) AS expected, count(*) FILTER (WHERE turn > 4) AS missing, count(*) FILTER (WHERE turn <= 4 AND turn = 2) AS different FROM conversations""")
+@query("""SELECT count(*) AS expected, count(*) FILTER (WHERE turn % 4 = 3) AS missing, count(*) FILTER (WHERE turn = 2) AS different FROM conversations""")
 def expected_vs_actual(spark, sf_dir):
+    """A corpus's messages against a second source: an export's lines, read again, of which some are lost and some changed."""
     rows = chains(spark, sf_dir)
-    got = rows.filter("checkpoint_no <= 4").select("thread_id", "checkpoint_no", F.when(F.col("checkpoint_no") == 2, "x").otherwise(F.col("message")).alias("got"))
-    j = rows.join(got, ["thread_id", "checkpoint_no"], "full")
-    return j.agg(F.count("message").alias("expected"), F.count_if(F.col("got").isNull()).alias("missing"), F.count_if(F.col("got").isNotNull() & (F.col("got") != F.col("message"))).alias("different"))
+    full = rows.select(F.col("thread_id").alias("t"), F.col("checkpoint_no").alias("n"), F.col("thread_id").cast("string").alias("thread_id"), F.col("checkpoint_no").cast("string").alias("checkpoint_id"), "checkpoint_no", F.lit(None).cast("string").alias("parent_checkpoint_id"), F.array("message").alias("messages"))
+    lines = jsonl.export_rows(full).filter("n % 4 <> 3").select("t", "n", F.when(F.col("n") == 2, F.regexp_replace("line", '"role":', '"rôle":')).otherwise(F.col("line")).alias("line"))
+    got = lines.select(F.col("t").alias("thread_id"), F.col("n").alias("checkpoint_no"), F.element_at(jsonl.json_elements(F.get_json_object("line", "$.state.messages")), 1).alias("got"))
+    return checkpoints.against(rows.select("thread_id", "checkpoint_no", F.col("message").alias("want")), got, ["thread_id", "checkpoint_no"])
 
 
 @query("""SELECT conv_id AS thread_id, turn AS checkpoint_no, sha256(CAST(to_json({'checkpoint_id': 'c' || turn, 'checkpoint_no': turn, 'parent_checkpoint_id': CASE WHEN turn > 0 THEN 'c' || (turn - 1) END, 'thread_id': 't' || conv_id}) AS VARCHAR)[:-2] || ',"state":' || state || '}') AS line_sha256
@@ -233,13 +262,28 @@ def prune_heap_subtree(spark, sf_dir):
     return left.select("thread", "node", "ordinal")
 
 
-@query(nodes_sql() + "SELECT n.thread, count(*) AS live, CAST(sum(n.bytes) AS BIGINT) AS bytes FROM nodes n JOIN way w USING (thread, node) WHERE NOT w.below GROUP BY n.thread")
+@query(nodes_sql() + """SELECT n.thread, count(*) AS live, CAST(sum(CASE WHEN n.node % 3 = 0 AND n.node > 20 THEN 2 * n.bytes ELSE n.bytes END) AS BIGINT) AS bytes
+FROM nodes n JOIN way w USING (thread, node) WHERE NOT w.below GROUP BY n.thread""")
 def live_minus_tombstones(spark, sf_dir):
-    """A sealed base and a hot suffix overlaid, less tombstones."""
+    """A sealed base overlaid by a hot suffix that repeats some of it with other bytes, less tombstones: the suffix wins."""
     every = nodes(spark, sf_dir)
     _, gone = forest.prune(every, F.col("node") == 2, "node")
-    overlaid = every.filter("node <= 40").unionByName(every.filter("node > 40"))
-    return overlaid.join(gone, ["thread", "node"], "left_anti").groupBy("thread").agg(F.count(F.lit(1)).alias("live"), F.sum("bytes").alias("bytes"))
+    base, hot = every.filter("node <= 40"), every.filter("node > 40 or node % 3 = 0 and node > 20").withColumn("bytes", F.when((F.col("node") % 3 == 0) & (F.col("node") > 20), 2 * F.col("bytes")).otherwise(F.col("bytes")))
+    return forest.overlaid(base, hot, gone).groupBy("thread").agg(F.count(F.lit(1)).alias("live"), F.sum("bytes").alias("bytes"))
+
+
+@query(nodes_sql() + "SELECT thread, node, row_number() OVER (ORDER BY thread, node) - 1 AS pos FROM way WHERE below")
+def sorted_tombstones(spark, sf_dir):
+    """Tombstones of a pruned subtree in order of their keys."""
+    _, gone = forest.prune(nodes(spark, sf_dir), F.col("node") == 2, "node")
+    return history.dense_ids(gone, "thread", "pos", then=("node",)).select("thread", "node", "pos")
+
+
+@query("""WITH k AS (SELECT DISTINCT conv_id || '/' || turn AS key FROM conversations)
+SELECT key, sha256(key) AS hash, row_number() OVER (ORDER BY sha256(key), key) - 1 AS pos FROM k""")
+def route_index(spark, sf_dir):
+    """Where an index in order of (hash, key) finds each checkpoint."""
+    return history.route_index(chains(spark, sf_dir).select(F.concat_ws("/", "thread_id", "checkpoint_no").alias("key")).distinct()).select("key", "hash", "pos")
 
 
 @query(nodes_sql() + "SELECT m.* FROM (" + GEOMETRY + """) g, LATERAL (VALUES
@@ -304,8 +348,7 @@ SEED, REVISION = "palimpsest-selection", "r0"
 def seeded_order(spark, sf_dir):
     """Instances in a pseudo-random order that a seed fixes."""
     ids = table(spark, sf_dir, "documents").select(F.col("source").alias("instance_id")).distinct()
-    ranked = ids.withColumn("rank", corpus.seeded("instance_id", SEED, REVISION)).withColumn("head", F.conv(F.substring("rank", 1, 15), 16, 10).cast("long"))
-    return history.dense_ids(ranked, "head", "pos").select("instance_id", "pos")
+    return history.dense_ids(ids.withColumn("rank", corpus.seeded("instance_id", SEED, REVISION)), "rank", "pos", then=("instance_id",)).select("instance_id", "pos")
 
 
 FILL = [("adapter", 100_000, 1), ("engineering", 400_000, 4), ("evaluation", 400_000, 5), ("holdout", 400_000, 5)]
@@ -356,20 +399,23 @@ def corpus_verify(spark, sf_dir):
     return corpus.corpus_faults(t, seen, given)
 
 
-@query("""WITH l AS (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT lang, count(*) AS lines, count(DISTINCT line) AS blobs, CAST(sum(strlen(line)) AS BIGINT) AS logical_bytes, (SELECT CAST(sum(strlen(x)) AS BIGINT) FROM (SELECT DISTINCT m.line AS x FROM l m WHERE m.lang = l.lang)) AS stored_bytes FROM l GROUP BY lang""")
+@query("""SELECT lang, doc_id, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY pos)) AS text_sha256, CAST(sum(strlen(line)) AS BIGINT) AS logical_bytes
+FROM (SELECT lang, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS l FROM documents)) GROUP BY ALL""")
 def cas_dedup_join(spark, sf_dir):
-    """Lines stored once by digest, and joined back."""
-    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("digest", F.sha2("line", 256))
-    blobs = lines.groupBy("lang", "digest").agg(F.first("line").alias("blob"), F.count(F.lit(1)).alias("uses"))
-    return blobs.groupBy("lang").agg(F.sum("uses").alias("lines"), F.count(F.lit(1)).alias("blobs"), F.sum(F.col("uses") * F.octet_length("blob")).alias("logical_bytes"), F.sum(F.octet_length("blob").cast("long")).alias("stored_bytes"))
+    """Lines stored once by digest and joined back to the chains that use them: every text comes out as it was."""
+    lines = table(spark, sf_dir, "documents").select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("digest", F.sha2("line", 256))
+    blobs = written(lines.groupBy("digest").agg(F.first("line").alias("blob")))
+    return corpus.joined_back(lines.drop("line"), blobs, ["lang", "doc_id"], "at").select("lang", "doc_id", "lines", F.sha2("text", 256).alias("text_sha256"), "logical_bytes")
 
 
-@query("SELECT sha256(text) AS digest, count(*) AS refs, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("""WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents), old AS (SELECT digest, min(doc_id) AS doc_id FROM d WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT digest, doc_id, false AS inserted FROM old
+UNION ALL SELECT digest, min(doc_id), true FROM d WHERE doc_id % 3 > 0 AND digest NOT IN (SELECT digest FROM old) GROUP BY 1""")
 def insert_if_absent(spark, sf_dir):
-    """Texts that a content-addressed store keeps once though they are put again."""
+    """A content-addressed table after a batch was put into it: digests that it holds stay as they are, others come once."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return d.groupBy("digest").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc")).filter("refs > 1")
+    held = written(d.filter("doc_id % 3 = 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    return corpus.inserted_if_absent(held, d.filter("doc_id % 3 > 0"), "digest", "doc_id")
 
 
 # Statistics ---------------------------------------------------------------------------------------------------------------------
@@ -536,11 +582,6 @@ def request_classify(spark, sf_dir):
     return history.classify_requests(r, seq="event_id").select("event_id", "outcome")
 
 
-@query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 4096")
-def receipt_horizon(spark, sf_dir):
-    return history.receipt_horizon(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
-
-
 @query("SELECT event_type || '-' || user_id AS binding, min(event_id) AS first_seq, count(*) AS requests, row_number() OVER (ORDER BY min(event_id)) - 1 AS history_id FROM events GROUP BY 1")
 def bound_history_upsert(spark, sf_dir):
     r = table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", "user_id").alias("binding"), F.col("event_id").alias("seq"))
@@ -581,11 +622,120 @@ def image_export(spark, sf_dir):
     return used.groupBy("history_id").agg(F.count(F.lit(1)).alias("leaves"))
 
 
-@query(OPS + "SELECT CAST(count(*) FILTER (WHERE false) AS BIGINT) AS faults FROM v")
+@query(OPS + """SELECT DISTINCT h AS history_id, v.seq, 'MissingLeaf' AS fault FROM (SELECT h, seq, unnest(src) AS leaf FROM ver) v WHERE leaf % 13 = 0
+UNION ALL SELECT h, seq, 'Length' FROM ver WHERE seq % 11 = 0 AND NOT list_contains(list_transform(src, lambda x: x % 13 = 0), true)""")
 def version_verify(spark, sf_dir):
-    """Structural faults of all versions: none."""
+    """Structural faults of all versions, where some leaves are lost and some lengths are wrong."""
     v = written(_versions(spark, sf_dir))
-    return compaction.image_faults(v, _leaves(spark, sf_dir, v)).agg(F.count(F.lit(1)).alias("faults"))
+    broken = v.withColumn("len", F.col("len") + F.when(F.col("seq") % 11 == 0, 1).otherwise(0))
+    return compaction.image_faults(broken, _leaves(spark, sf_dir, v).filter("leaf % 13 <> 0"))
+
+
+@query(OPS + """SELECT o.h AS history_id, count(*) + 1 AS operations, count(v.seq) AS versions_allocated, count(*) FILTER (WHERE v.m IN (9, 1, 2, 3)) AS leaves_allocated,
+  CAST(coalesce(sum(strlen(o.t)) FILTER (WHERE v.m IN (9, 1, 2, 3)), 0) AS DECIMAL(20, 0)) AS payload_bytes_written, CAST(sum(coalesce(strlen(v.c), 0)) AS DECIMAL(20, 0)) AS logical_bytes
+FROM op o LEFT JOIN v USING (h, rn, seq) GROUP BY o.h""")
+def work_counters(spark, sf_dir):
+    """What a replay allocated and wrote, by history."""
+    log = operations(spark, sf_dir)
+    return history.work(history.replay(log), log)
+
+
+# Request ledgers and bindings: root splices under request ids that come again, expiries, retirements, bound versions.
+LEDGER = """
+WITH e AS (SELECT *, user_id AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, 2 * event_id + 1 AS seq, event_id % 10 AS m, event_id % 7 AS q FROM events),
+op AS (SELECT h, rn, seq, m, event_type AS t, CASE WHEN m < 8 THEN q END AS q, event_id % 5 AS b, lag(seq, 1 + CAST(event_id % 3 AS INT)) OVER (PARTITION BY h ORDER BY rn) AS target FROM e),
+fresh AS (SELECT h, q, seq, t FROM (SELECT *, row_number() OVER (PARTITION BY h, q ORDER BY seq) AS nth FROM op WHERE m < 6) WHERE nth = 1),
+bound AS (SELECT h, b, min(seq) AS seq FROM op WHERE m = 9 GROUP BY ALL),
+made AS (SELECT h, seq FROM fresh UNION ALL SELECT h, seq FROM bound),
+expiry AS (SELECT o.h, o.target AS seq, min(o.seq) AS gone FROM op o JOIN made v ON v.h = o.h AND v.seq = o.target WHERE o.m = 8 GROUP BY ALL),
+ended AS (SELECT f.h, f.q, least(min(o.seq), any_value(x.gone)) AS retired FROM fresh f LEFT JOIN op o ON o.h = f.h AND o.q = f.q AND o.m IN (6, 7) AND o.seq > f.seq LEFT JOIN expiry x ON x.h = f.h AND x.seq = f.seq GROUP BY ALL),
+done AS (SELECT o.h AS history_id, o.seq, o.m, CASE
+    WHEN o.m < 6 AND f.seq = o.seq THEN 'Committed' WHEN o.m < 6 AND f.t <> o.t THEN 'RequestConflict' WHEN o.m < 6 AND d.retired < o.seq THEN 'Retired' WHEN o.m < 6 THEN 'Replayed'
+    WHEN o.m < 8 AND f.seq < o.seq AND (d.retired IS NULL OR d.retired >= o.seq) THEN 'RequestRetired' WHEN o.m < 8 THEN 'UnknownRequest'
+    WHEN o.m = 8 AND (v.seq IS NULL OR o.target IS NULL) THEN 'UnknownVersion' WHEN o.m = 8 AND x.gone = o.seq THEN 'Expired' WHEN o.m = 8 THEN 'AlreadyExpired'
+    WHEN n.seq = o.seq THEN 'Committed' ELSE 'DuplicateBinding' END AS outcome
+  FROM op o LEFT JOIN fresh f ON f.h = o.h AND f.q = o.q LEFT JOIN ended d ON d.h = o.h AND d.q = o.q LEFT JOIN made v ON o.m = 8 AND v.h = o.h AND v.seq = o.target AND v.seq < o.seq
+    LEFT JOIN expiry x ON o.m = 8 AND x.h = o.h AND x.seq = o.target LEFT JOIN bound n ON o.m = 9 AND n.h = o.h AND n.b = o.b)
+"""
+
+
+def requests_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (2 * F.col("event_id") + 1).alias("seq"), (F.col("event_id") % 10).alias("m"))
+    w, m, none = W.partitionBy("user_id").orderBy("event_id"), F.col("m"), F.lit(None)
+    back = F.col("event_id") % 3
+    target = F.when(back == 0, F.lag("seq", 1).over(w)).when(back == 1, F.lag("seq", 2).over(w)).otherwise(F.lag("seq", 3).over(w))
+    request = F.encode((F.col("event_id") % 7).cast("string"), "UTF-8")
+    ops = e.select(
+        "seq", F.when(m.isin(6, 7), "retire").when(m == 8, "expire").otherwise("splice").alias("op"), F.col("user_id").alias("history_id"), none.cast("long").alias("parent_seq"),
+        F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("delete_len"), F.when(~m.isin(6, 7, 8), F.encode("event_type", "UTF-8")).alias("insert"), F.when(m < 6, request).alias("request_id"),
+        F.when(m == 9, F.encode(F.concat(F.lit("b"), F.col("event_id") % 5), "UTF-8")).alias("binding"), F.when(m.isin(6, 7), request).alias("target"), F.when(m == 8, target).alias("target_seq"))
+    made = ops.groupBy("history_id").agg((F.min("seq") - 1).alias("seq"))
+    return ops.unionByName(made.withColumn("op", F.lit("create")), allowMissingColumns=True)
+
+
+def _decided(spark, sf_dir) -> DataFrame:
+    """history_id, seq, op, outcome: of rejected operations the error."""
+    return history.replay(requests_log(spark, sf_dir)).filter("op <> 'create'").withColumn("outcome", F.coalesce("error", "outcome"))
+
+
+@query(LEDGER + "SELECT history_id, seq, outcome FROM done WHERE m NOT IN (6, 7)")
+def request_ledger(spark, sf_dir):
+    """Outcomes of requests that come fresh, again, changed, after retirement; of expiries and of bound versions."""
+    return _decided(spark, sf_dir).filter("op <> 'retire'").select("history_id", "seq", "outcome")
+
+
+@query(LEDGER + "SELECT history_id, seq, outcome FROM done WHERE m IN (6, 7)")
+def retire_outcomes(spark, sf_dir):
+    """Retirements of active requests, and of those that aren't (any more)."""
+    return _decided(spark, sf_dir).filter("op = 'retire'").select("history_id", "seq", "outcome")
+
+
+@query(LEDGER + """SELECT b.h AS history_id, 'b' || b.b AS binding, 1 AS off, 3 AS n, CASE WHEN x.gone IS NULL THEN hex(encode(substr(o.t, 2, 3))) END AS bytes_hex, CASE WHEN x.gone IS NOT NULL THEN 'VersionExpired' END AS error
+FROM bound b JOIN op o ON o.h = b.h AND o.seq = b.seq LEFT JOIN expiry x ON x.h = b.h AND x.seq = b.seq
+UNION ALL SELECT DISTINCT h, 'none', 1, 3, NULL, 'NotFound' FROM op""")
+def binding_reads(spark, sf_dir):
+    """Bytes read through the names that versions were bound to."""
+    log = written(requests_log(spark, sf_dir))
+    v = written(history.with_lifecycle(history.replay(log)).join(log.select("history_id", "seq", "binding"), ["history_id", "seq"]))
+    leaves = log.filter("insert is not null").select("history_id", F.col("seq").alias("leaf"), F.col("insert").alias("payload"))
+    named = v.filter("binding is not null").select("history_id", "binding").unionByName(v.select("history_id", F.encode(F.lit("none"), "UTF-8").alias("binding")).distinct())
+    got = history.read_bound(v, leaves, named.select("*", F.lit(1).cast("long").alias("off"), F.lit(3).cast("long").alias("n")))
+    return got.withColumn("binding", F.decode("binding", "UTF-8"))
+
+
+HORIZON = 5
+EVICTION = f"""
+WITH op AS (SELECT user_id AS h, event_id AS id, 2 * event_id + 1 AS seq, event_id % 3 = 0 AS retire, lag(event_id, 1 + CAST(event_id % 8 AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS target FROM events),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY seq) AS nth FROM op WHERE NOT retire),
+asked AS (SELECT o.h, o.seq, f.id, f.id IS NOT NULL AND (SELECT count(*) FROM fresh n WHERE n.h = o.h AND n.nth > f.nth AND n.seq < o.seq) < {HORIZON} AS known FROM op o LEFT JOIN fresh f ON f.h = o.h AND f.id = o.target WHERE o.retire),
+won AS (SELECT *, known AND row_number() OVER (PARTITION BY h, id, known ORDER BY seq) = 1 AS done FROM asked)
+"""
+
+
+def eviction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, text = W.partitionBy("user_id").orderBy("event_id"), lambda c: F.encode(c.cast("string"), "UTF-8")
+    back = F.col("event_id") % 8
+    target = F.coalesce(*[F.when(back == i, F.lag("event_id", i + 1).over(w)) for i in range(8)])
+    e, retire = table(spark, sf_dir, "events"), F.col("event_id") % 3 == 0
+    ops = e.select(
+        (2 * F.col("event_id") + 1).alias("seq"), F.when(retire, "retire").otherwise("splice").alias("op"), F.col("user_id").alias("history_id"), F.lit(None).cast("long").alias("parent_seq"), F.lit(0).cast("long").alias("offset"),
+        F.lit(0).cast("long").alias("delete_len"), F.when(~retire, text(F.col("event_id"))).alias("insert"), F.when(~retire, text(F.col("event_id"))).alias("request_id"), F.lit(None).cast("binary").alias("binding"),
+        F.when(retire, F.coalesce(text(target), text(F.lit("none")))).alias("target"), F.lit(None).cast("long").alias("target_seq"))
+    made = ops.groupBy("history_id").agg((F.min("seq") - 1).alias("seq"))
+    return ops.unionByName(made.withColumn("op", F.lit("create")), allowMissingColumns=True)
+
+
+@query(EVICTION + "SELECT h AS history_id, seq, CASE WHEN done THEN 'RequestRetired' ELSE 'UnknownRequest' END AS outcome FROM won")
+def receipt_eviction(spark, sf_dir):
+    """Retirements where only the newest five receipts of a history are known."""
+    return history.replay(eviction_log(spark, sf_dir), False, HORIZON).filter("op = 'retire'").select("history_id", "seq", F.coalesce("error", "outcome").alias("outcome"))
+
+
+@query(EVICTION + f"""SELECT f.h AS history_id, CAST(f.id AS VARCHAR) AS request_id, CASE WHEN w.id IS NULL THEN 'Active' ELSE 'Retired' END AS state
+FROM (SELECT *, max(nth) OVER (PARTITION BY h) AS newest FROM fresh) f LEFT JOIN (SELECT DISTINCT h, id FROM won WHERE done) w ON w.h = f.h AND w.id = f.id WHERE f.nth > newest - {HORIZON}""")
+def receipt_horizon(spark, sf_dir):
+    """The receipts that a ledger of five a history still holds after all operations."""
+    return history.receipts(history.as_steps(eviction_log(spark, sf_dir)), HORIZON).withColumn("request_id", F.decode("request_id", "UTF-8"))
 
 
 @query(CHAINS + """, ext AS (SELECT thread_id, checkpoint_no, strlen(message) + CASE WHEN checkpoint_no = 0 THEN 13 ELSE 1 END + CASE WHEN checkpoint_no = max(checkpoint_no) OVER (PARTITION BY thread_id) THEN 2 ELSE 0 END AS len FROM msg),
@@ -614,7 +764,7 @@ def evidence_projection(spark, sf_dir):
     doc = F.concat(
         F.lit('{"result":{"backend":"b'), (F.col("o_orderkey") % 3).cast("string"), F.lit('","pass":'), (F.col("o_orderkey") % 2 == 0).cast("string"), F.lit(',"storage":{"reopened":{"allocated_bytes":'), (F.col("o_orderkey") + 1000).cast("string"), F.lit("}"), empty,
         F.lit('},"exactness":{'), read, F.lit('"reopened_after_aggressive_pack":{"read_latency":{"p50_ns":77}}}}}'))
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evidence.arm_record(doc).alias("r"))
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), evidence.run_figures(doc).alias("r"))
     return r.select("id", "r.backend", "r.pass", "r.marginal_bytes", "r.read_p50_ns")
 
 
@@ -654,14 +804,19 @@ def binding_uniqueness(spark, sf_dir):
     return evidence.repeated_bindings(e)
 
 
-@query("SELECT true AS all_exact, false AS counts_equal")
+@query("""SELECT o_orderpriority AS run, bool_and(o_totalprice > 1500) AS all_exact, count(DISTINCT (o_orderkey % 2, o_orderstatus = 'F')) = 1 AS counts_equal FROM orders WHERE o_custkey % 50 < 2 GROUP BY 1
+UNION ALL SELECT 'same', true, true""")
 def backend_agreement(spark, sf_dir):
-    """Arms that are exact but count differently."""
-    a = table(spark, sf_dir, "region").select(F.col("r_name").alias("backend"), F.lit(True).alias("exact"), F.when(F.col("r_regionkey") < 4, 10).otherwise(11).alias("checkpoints"), F.lit(3).alias("attempts"))
-    return evidence.agreement(a)
+    """By run: whether all arms are exact and count alike."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 50 < 2")
+    arms = o.select(F.col("o_orderpriority").alias("run"), (F.col("o_totalprice") > 1500).alias("exact"), (F.col("o_orderkey") % 2).alias("checkpoints"), (F.col("o_orderstatus") == "F").cast("int").alias("attempts"))
+    same = spark.range(3).select(F.lit("same").alias("run"), F.lit(True).alias("exact"), F.lit(7).cast("long").alias("checkpoints"), F.lit(2).alias("attempts"))
+    return evidence.agreement(arms.unionByName(same), ["run"])
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 404 WHEN 2 THEN 413 ELSE 500 END AS read_status, CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 404 WHEN 2 THEN 413 ELSE 500 END AS append_status FROM events")
+@query("""SELECT event_id, [404, 404, 413, 400, 409, 409, 409, 416, 503, 507, 500, 500, 500][event_id % 13 + 1] AS read_status,
+  [400, 404, 413, 400, 409, 409, 409, 416, 503, 507, 500, 500, 500][event_id % 13 + 1] AS append_status FROM events""")
 def error_status(spark, sf_dir):
-    kind = F.element_at(F.array(*map(F.lit, ["NotFound", "Deleted", "TooLarge", "Other"])), (F.col("event_id") % 4 + 1).cast("int"))
+    """The status of each of the twelve kinds, and of one that isn't known."""
+    kind = F.element_at(F.array(*map(F.lit, [*READ_STATUS, "Other"])), (F.col("event_id") % 13 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", evidence.http_status(kind).alias("read_status"), evidence.http_status(kind, True).alias("append_status"))

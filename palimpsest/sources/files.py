@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Schema of one frozen instance per line.
@@ -22,8 +22,8 @@ def manifest_paths(spark: SparkSession, folder: str, manifest: str = "source_man
     """Paths of the Parquet files that a manifest lists ({"files": [{"path": ...}]}); raises if one isn't there."""
     text = spark.read.text(f"{folder}/{manifest}", wholetext=True).first()[0]
     out = [f"{folder}/{f['path']}" for f in json.loads(text)["files"] if f["path"].endswith(".parquet")]
-    there = {r["path"].rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").load(out).select("path").collect()} if out else set()
-    if missing := [p for p in out if p.rsplit("/", 1)[-1] not in there]:
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    if missing := [p for p in out if not path(p).getFileSystem(conf).exists(path(p))]:
         raise FileNotFoundError(", ".join(missing))
     return out
 
@@ -68,6 +68,27 @@ def topology_faults(nodes: DataFrame) -> DataFrame:
     return twice.unionByName(orphan)
 
 
+def write_attempt_refs(attempts: DataFrame, path: str) -> None:
+    """One JSON line an attempt (attempt_id, instance_id, solved, source_row_fingerprint, tip_checkpoint_id), sorted by
+    instance and attempt within ranges of these."""
+    ranged = attempts.repartitionByRange("instance_id", "attempt_id").sortWithinPartitions("instance_id", "attempt_id")
+    ranged.select(attempt_ref(attempts).alias("value")).write.text(path)
+
+
+def attempt_ref(attempts: DataFrame) -> Column:
+    return F.to_json(F.struct(*[attempts[c] for c in ("attempt_id", "instance_id", "solved", "source_row_fingerprint", "tip_checkpoint_id")]), {"ignoreNullFields": "false"})
+
+
+def partition_manifest(lines: DataFrame, partition: str) -> DataFrame:
+    """By partition: lines, bytes and the SHA-256 over its lines' own digests, in order of key: what a reader can check
+    without the text. lines: (key, line, the partition's column)."""
+    each = lines.select(partition, "key", F.sha2("line", 256).alias("d"), F.octet_length("line").cast("long").alias("b"))
+    # 4096 ranges of digests by key keep any one array short
+    part = each.withColumn("r", F.pmod(F.xxhash64("key"), F.lit(4096)))
+    some = part.groupBy(partition, "r").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
+    return some.groupBy(partition).agg(F.sum("n").alias("lines"), F.sum("b").alias("bytes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "d"))), lambda x: x["d"]), ""), 256).alias("sha256"))
+
+
 def write_partition(lines: DataFrame, key: str, path: str, partition: str | None = None) -> None:
     """Lines of JSON, sorted by key within ranges of it; partitioned by a column where one is named."""
     ranged = lines.repartitionByRange(key).sortWithinPartitions(key)

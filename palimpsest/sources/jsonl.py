@@ -10,6 +10,7 @@ from ..functions import canon
 from ..model import EXPORT_FORMAT, EXPORT_VERSION
 from ..scratch import written
 
+# The fields of a line, and below the texts that an importer answers a bad line with.
 FIELDS = ["thread_id", "checkpoint_id", "checkpoint_no", "parent_checkpoint_id", "messages"]
 #: Types as get_json_object() can't tell them apart: read as variants.
 U32 = (1 << 32) - 1
@@ -88,11 +89,13 @@ def import_jsonl(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def export_rows(checkpoints: DataFrame) -> DataFrame:
-    """Canonical export lines of checkpoints (thread_id, checkpoint_id, checkpoint_no, parent_checkpoint_id, all messages)."""
+    """Canonical export lines of checkpoints (thread_id, checkpoint_id, checkpoint_no, parent_checkpoint_id, all messages; identity
+    and result, where there are such columns)."""
     fields = F.struct(
         F.col("checkpoint_id"), F.col("checkpoint_no"), F.col("parent_checkpoint_id"), F.col("thread_id"))
     head = F.to_json(fields, {"ignoreNullFields": "false"})
-    return checkpoints.withColumn("line", F.concat(F.regexp_replace(head, "\\}$", ""), F.lit(',"state":'), canon.state(F.col("messages")), F.lit("}")))
+    state = canon.framed(F.array_join("messages", ","), F.col("identity"), F.col("result")) if "identity" in checkpoints.columns else canon.state(F.col("messages"))
+    return checkpoints.withColumn("line", F.concat(F.regexp_replace(head, "\\}$", ""), F.lit(',"state":'), state, F.lit("}")))
 
 
 def envelope(lines: DataFrame, order: str) -> DataFrame:
@@ -103,11 +106,13 @@ def envelope(lines: DataFrame, order: str) -> DataFrame:
 
 def import_states(full: DataFrame) -> DataFrame:
     """Deltas of full states: (thread_id, checkpoint_id, parent_checkpoint_id, messages: all) with delta and error, where
-    the parent is missing, isn't a prefix, or nothing is new."""
+    the parent is missing, isn't a prefix, or nothing is new; a checkpoint of an identity (where there is such a column) has no
+    messages, and its delta is empty."""
     p = full.select("thread_id", F.col("checkpoint_id").alias("parent_checkpoint_id"), F.col("messages").alias("before_"))
     j = full.join(p, ["thread_id", "parent_checkpoint_id"], "left").withColumn("n_", F.coalesce(F.size("before_"), F.lit(0)))
     prefix = F.slice(F.col("messages"), F.lit(1), F.col("n_")) == F.coalesce(F.col("before_"), F.array().cast("array<string>"))
-    error = F.when(F.col("parent_checkpoint_id").isNotNull() & F.col("before_").isNull(), "parent checkpoint not found").when(~prefix, "parent is not a prefix").when(F.size("messages") <= F.col("n_"), "empty delta")
+    only = F.col("identity").isNotNull() if "identity" in full.columns else F.lit(False)
+    error = F.when(F.col("parent_checkpoint_id").isNotNull() & F.col("before_").isNull(), "parent checkpoint not found").when(~prefix, "parent is not a prefix").when(~only & (F.size("messages") <= F.col("n_")), "empty delta")
     return j.withColumn("error", error).withColumn("delta", F.when(error.isNull(), F.slice(F.col("messages"), F.col("n_") + 1, F.size("messages")))).drop("before_", "n_")
 
 

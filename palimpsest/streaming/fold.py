@@ -58,20 +58,25 @@ def suffixes(full: DataFrame, mirrored: DataFrame) -> DataFrame:
 
 def mirror(stream: DataFrame, path: str, checkpoint: str, fail_open: bool = True):
     """A query that appends the suffixes of a stream of whole threads (thread_id, messages) to a mirror, and stops when all
-    is read. Each batch is a folder of its own, overwritten if it is tried again, so redelivery changes nothing."""
+    is read. Each batch is a folder of its own, overwritten if it is tried again, so redelivery changes nothing. Threads that
+    changed before their end are recorded in path/_refused, or raise if fail_open is false."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            got = spark.read.parquet(path).filter(F.col("batch") < number)
-        except Exception:  # no batch yet
-            got = spark.createDataFrame([], "thread_id string, delta array<string>, batch int")
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+        begun = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(there)
+        schema = "thread_id string, delta array<string>, batch int"
+        latest = batch.groupBy("thread_id").agg(F.max_by("messages", F.size("messages")).alias("messages"))
+        got = spark.read.schema(schema).parquet(path).filter(F.col("batch") < number) if begun else spark.createDataFrame([], schema)
+        got = got.join(latest.select("thread_id"), "thread_id", "left_semi")  # what this batch doesn't name isn't hashed
         parts = got.groupBy("thread_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("batch", "delta"))), lambda x: x["delta"])).alias("m"))
         done = parts.select("thread_id", F.size("m").alias("n"), F.sha2(F.array_join("m", ","), 256).alias("sha256"))
-        latest = batch.groupBy("thread_id").agg(F.max_by("messages", F.size("messages")).alias("messages"))
         new = suffixes(latest, done)
-        if not fail_open and not new.filter("error is not null").isEmpty():
-            raise ValueError("a mirrored thread changed before its end")
+        refused = new.filter("error is not null").select("thread_id", "error")
+        if not refused.isEmpty():
+            if not fail_open:
+                raise ValueError("a mirrored thread changed before its end")
+            refused.write.mode("overwrite").parquet(f"{path}/_refused/batch={number}")
         new.filter("delta is not null").select("thread_id", "delta").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -72,14 +72,14 @@ def test_append_is_splice_and_fork_is_parent():
 
 
 def random_log(seed, n=120, histories=4):
-    """Operations of which most commit: parents are mostly versions that were made before."""
+    """Operations of which most commit: parents are mostly versions that are retained."""
     rng, out = random.Random(seed), []
     for h in range(histories):
         state = Replay(h)
         out.append(op(h * 1000, "create", history_id=h))
         state.apply(out[-1])
         for i in range(1, n):
-            made = [*state.versions][-8:]
+            made = [v for v in state.versions if v not in state.expired][-8:]
             parent = rng.choice(made) if made and rng.random() < 0.9 else None if rng.random() < 0.7 else h * 1000 + i - 1
             kind = rng.choice(["splice"] * 4 + ["append"] * 3 + ["fork", "expire", "retire"])
             more = {"parent_seq": parent, "offset": rng.randint(0, 4) if parent else 0, "delete_len": rng.randint(0, 2) if parent else 0, "insert": rng.choice([b"", b"ab", b"\xff\x00", b"long" * 3]),
