@@ -36,6 +36,17 @@ def test_routes(store):
     assert post(store, "/api/read", thread_id="t", checkpoint_id="a")[0] == 404
 
 
+def test_import_and_page(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/s")
+    row = lambda i, parent: json.dumps({"thread_id": "t", "checkpoint_id": i, "checkpoint_no": 0, "parent_checkpoint_id": parent, "messages": [i]})
+    status, answer = api.route(s, "POST", "/api/import", row("a", None) + "\n\n" + row("b", "a") + "\n" + row("c", "no") + "\n")
+    assert status == 200 and json.loads(answer) == {"checkpoint_count": 2, "message_value_count": 2, "stopped_at": 4, "error": "parent checkpoint not found", "failures": 0}
+    status, page = api.route(s, "GET", "/")
+    assert status == 200 and "<td>checkpoint_count</td><td>2</td>" in page and api.route(s, "GET", "/no")[0] == 404
+    assert json.loads(api.route(s, "GET", "/api/export")[1]) == [{"messages": ["a"]}, {"messages": ["a", "b"]}]
+    assert (s.counters["http_requests"], s.counters["http_errors"], s.counters["imported_checkpoints"]) == (4, 1, 2)
+
+
 def test_commands(store):
     def run(*args, stdin=""):
         out = io.StringIO()

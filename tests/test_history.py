@@ -66,6 +66,11 @@ def test_horizon():
     assert r.apply(op(9, "splice", insert=b"x1", request_id=b"1"))["outcome"] == "Committed"  # forgotten, so fresh again
 
 
+def test_counters_saturate(spark):
+    rows = spark.createDataFrame([(str((1 << 64) - 1),), ("5",)], "x string").select(F.col("x").cast("decimal(38,0)"))
+    assert rows.agg(history.saturating(F.sum("x")).alias("s")).first()["s"] == (1 << 64) - 1
+
+
 def test_append_is_splice_and_fork_is_parent():
     r, got = run(op(0, "create"), op(1, "splice", insert=b"abc"), op(2, "append", parent_seq=1, insert=b"d"), op(3, "splice", parent_seq=1, offset=3, delete_len=0, insert=b"d"), op(4, "fork", parent_seq=2))
     assert got[2]["digest"] == got[3]["digest"] and r.content(2) == r.content(3) == r.content(4) == b"abcd"
@@ -174,6 +179,10 @@ def test_store_by_single_operations(spark, tmp_path):
     assert store.expire(h, root["seq"])["outcome"] == "Expired"
     store.seal()
     assert store.splice(h, None, 0, 0, b"hello", request_id=b"r")["outcome"] == "Retired" and store.receipt_status(h, b"r") == "Retired"
+    assert (store.version_of(h, b"v"), store.version_of(h, b"w"), store.binding_of(h, child["seq"]), store.binding_of(h, twin["seq"])) == (child["seq"], None, b"v", None)
+    asked = store.spark.createDataFrame([(h, bytearray(b"v"), 6, 5), (h, bytearray(b"w"), 0, 1), (h, bytearray(b"v"), 9, 9)], "history_id long, binding binary, off long, n long")
+    assert {(bytes(r["binding"]), r["off"]): (r["bytes_hex"], r["error"]) for r in store.read_bound(asked).collect()} == {(b"v", 6): (b"world".hex().upper(), None), (b"w", 0): (None, "NotFound"), (b"v", 9): (None, "OutOfRange")}
+    assert store.receipt_count(h) == 1 and store.retired_requests(h) == [b"r"]
     assert store.append(h, root["seq"], b"!")["error"] == "VersionExpired" and store.create_history(b"thread") == 0
     assert store.append(h, child["seq"], b"!", binding=b"v")["error"] == "DuplicateBinding" and store.receipt_status(h, b"x") == "Unknown"
     try:

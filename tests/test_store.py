@@ -61,7 +61,11 @@ def test_writes(spark, tmp_path):
     assert s.seal() == 1
     s.put("t", "d", 2, "c", ["2"])
     assert s.stats()["hot_checkpoints"] == 1 and s.get("t", "d") == '{"messages":["m","n",1,2]}'
-    assert s.fsck() == {"missing_parents": 0, "later_parents": 0, "repeated_ids": 0, "checked": 3, "failures": 0}
+    report = s.fsck()
+    assert report.pop("hot_physical_bytes") > 0 and report.pop("sealed_segment_count") > 0
+    assert report == {
+        "format_version": 1, "store_id": None, "sealed_generation": 1, "checkpoint_count": 3, "version_count": 6, "hot_logical_bytes": 1, "trailing_nonzero_bytes": 0,
+        "repeated_ids": 0, "failures": 0, "missing_parents": 0, "later_parents": 0}
     s.export(f"{tmp_path}/out")
     other = Store(spark, f"{tmp_path}/other")
     assert other.import_export(f"{tmp_path}/out") == 3 and other.get("t", "d") == s.get("t", "d")
@@ -72,6 +76,50 @@ def test_writes(spark, tmp_path):
     assert s.seal() == 2 and s.stats()["checkpoints"] == 1 and s.reclaim()
 
 
+def refused(kind, f, *args, **more):
+    with pytest.raises(StoreError) as e:
+        f(*args, **more)
+    return e.value.kind == kind
+
+
+def test_channels(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/s")
+    s.put("t", "i", 0, None, [], identity='{"a":"1"}')
+    s.put("t", "j", 1, "i", [], identity="7", result='"done"')
+    s.put("u", "m", 0, None, ['"x"'], result="[1]")
+    s.put("u", "n", 1, "m", ['"y"'])
+    want = {"i": '{"identity":{"a":"1"},"messages":[]}', "j": '{"identity":7,"messages":[],"result":"done"}', "m": '{"identity":null,"messages":["x"],"result":[1]}', "n": '{"messages":["x","y"]}'}
+    assert {r["checkpoint_id"]: r["state"] for r in s.states().collect()} == want
+    assert refused("Invalid", s.put, "t", "k", 2, "i", ['"m"']) and refused("Invalid", s.put, "t", "k", 2, None, ['"m"'], identity="1")
+    assert s.verify() == {"checked": 4, "failures": 0}
+    s.seal()
+    s.export(f"{tmp_path}/out")
+    other = Store(spark, f"{tmp_path}/other")
+    assert other.import_export(f"{tmp_path}/out") == 4 and {r["checkpoint_id"]: r["state"] for r in other.states().collect()} == want
+
+
+def test_requests_and_bounds(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/s")
+    s.put("t", "a", 0, None, ['"m"'], request_id="r")
+    s.put("t", "a", 0, None, ['"m"'], request_id="r")  # delivered again
+    assert s.rows().count() == 1 and refused("RequestConflict", s.put, "t", "a", 0, None, ['"n"'], request_id="r")
+    assert refused("Precondition", s.seal_through, 0) and s.seal_through(1) == 1 == s.seal_through(1)
+    s.put("t", "a", 0, None, ['"m"'], request_id="r")  # known after a seal
+    more = lambda i, text: spark.createDataFrame([("t", i, 1, "a", [text])], "thread_id string, checkpoint_id string, checkpoint_no long, parent_checkpoint_id string, messages array<string>")
+    assert [s.append_bounded(more(f"b{i}", '"12345678"'), 25, 30) for i in range(4)] == [False, False, True, False]
+    assert refused("TooLarge", s.append_bounded, more("c", '"' + "x" * 40 + '"'), 25, 30) and refused("Invalid", s.append_bounded, more("c", "1"), 30, 25)
+    assert s.generation() == 2 and s.rows().count() == 5
+    with s.reading():
+        assert refused("Precondition", s.reclaim)
+    assert s.reclaim()
+    s.prune("t", "a")
+    s.seal()
+    assert refused("Deleted", s.put, "t", "a", 0, None, ['"m"'], request_id="r")
+    assert [tuple(r) for r in s.sorted_tombstones().orderBy("pos").collect()] == [(i, "t", c) for i, c in enumerate(["a", "b0", "b1", "b2", "b3"])]
+    text = s.metrics_text()
+    assert text.count("# TYPE") == 25 and "palimpsest_durable_appends_total 5\n" in text and "palimpsest_versions 0\n" in text
+
+
 @pytest.mark.parametrize("bad, error", [
     ("{nope", "invalid JSON"), ("[1]", "checkpoint body must be a JSON object"), (LINES[1] | {"x": 1}, "unknown field x"), (LINES[1] | {"messages": []}, "messages must contain at least one newly appended value"),
     (LINES[1] | {"messages": 3}, "messages must be a JSON array"), (LINES[1] | {"thread_id": ""}, "thread_id must be a non-empty string"), (LINES[1] | {"checkpoint_id": 7}, "checkpoint_id must be a non-empty string"),
@@ -102,6 +150,19 @@ def test_files(spark, tmp_path):
     assert f["paths"].count() == 2 and f["nodes"].first()["logical_state_len"] == 5
 
 
+def test_sidecar_and_manifest(spark, tmp_path):
+    a = spark.createDataFrame([("i", "2", True, "f", "t"), ("i", "1", None, None, "u")], "instance_id string, attempt_id string, solved boolean, source_row_fingerprint string, tip_checkpoint_id string")
+    files.write_attempt_refs(a, f"{tmp_path}/refs")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/refs").collect()] == [
+        '{"attempt_id":"1","instance_id":"i","solved":null,"source_row_fingerprint":null,"tip_checkpoint_id":"u"}', '{"attempt_id":"2","instance_id":"i","solved":true,"source_row_fingerprint":"f","tip_checkpoint_id":"t"}']
+    lines = spark.createDataFrame([(k, f"line {k}", "ab"[k % 2]) for k in range(50)], "key long, line string, part string")
+    first = {r["part"]: r for r in files.partition_manifest(lines, "part").collect()}
+    assert first["a"]["lines"] == 25 and first["b"]["bytes"] == sum(len(f"line {k}") for k in range(1, 50, 2))
+    assert first == {r["part"]: r for r in files.partition_manifest(lines.repartition(5), "part").collect()}
+    other = {r["part"]: r for r in files.partition_manifest(lines.replace("line 3", "line x", ["line"]), "part").collect()}
+    assert other["a"] == first["a"] and other["b"]["sha256"] != first["b"]["sha256"]
+
+
 def test_cycles_end(spark):
     nodes = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, None)], "thread long, node long, parent long")
     assert forest.depths(nodes).count() == 3
@@ -129,3 +190,4 @@ def test_mirror(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/m").orderBy("batch").collect()
     assert [m for r in got if r["thread_id"] == "a" for m in r["delta"]] == ["1", "2", "3"]
     assert [m for r in got if r["thread_id"] == "b" for m in r["delta"]] == ["x", "y"]
+    assert [r["thread_id"] for r in spark.read.parquet(f"{tmp_path}/m/_refused/batch=1").collect()] == ["b"]
