@@ -1,7 +1,8 @@
 """Versioned byte sequences: a fold of an operation log into versions, receipts and outcomes, and what hangs on it.
 
 Histories are independent, so the log is dealt out by history and streamed in order through one Arrow pass: a version is a
-list of pieces of leaves (leaf = seq of the operation that brought the bytes), so that edits and forks copy no payload.
+balanced tree of pieces of leaves (leaf = seq of the operation that brought the bytes) that shares nodes with its parent, so
+that edits and forks copy neither payload nor lists.
 Only what an order-sensitive fold needs runs in Python; receipts, horizons, bindings, reachability and numbering are
 DataFrame expressions.
 """
@@ -9,34 +10,106 @@ DataFrame expressions.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from itertools import islice
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..model import MAX_BINDING, OPERATION, OUTCOME, RECEIPTS, STEP
 from ..scratch import written
 from ..shipping import on_workers
 
 Pieces = list[tuple[int, int, int]]
-
-
-def splice_pieces(pieces: Pieces, offset: int, delete: int, leaf: int, size: int) -> Pieces:
-    """pieces with [offset, offset + delete) replaced by the whole leaf of so many bytes."""
-    left: Pieces = []
-    right: Pieces = []
-    at = 0
-    for source, off, n in pieces:
-        keep = min(n, max(offset - at, 0))
-        if keep:
-            left.append((source, off, keep))
-        skip = min(n, max(offset + delete - at, 0))
-        if skip < n:
-            right.append((source, off + skip, n - skip))
-        at += n
-    return left + ([(leaf, 0, size)] if size else []) + right
+#: A version's bytes as a tree of pieces that versions share: (bytes, pieces, left, right), or (bytes, 1, leaf, offset) for one
+#: piece. Neighbours' weights differ by a factor of 4 at most, so that an edit makes O(log pieces) nodes.
+Tree = tuple
+
+
+def _pair(a: Tree, b: Tree) -> Tree:
+    return a[0] + b[0], a[1] + b[1], a, b
+
+
+def joined(a: Tree | None, b: Tree | None) -> Tree | None:
+    """The bytes of a and then of b."""
+    if a is None or b is None:
+        return b if a is None else a
+    if a[1] > 4 * b[1]:
+        left, right = a[2], joined(a[3], b)
+        if right[1] > 4 * left[1]:  # turned to the left
+            return _pair(_pair(left, right[2]), right[3]) if right[2][1] <= 4 * left[1] else _pair(_pair(left, right[2][2]), _pair(right[2][3], right[3]))
+        return _pair(left, right)
+    if b[1] > 4 * a[1]:
+        left, right = joined(a, b[2]), b[3]
+        if left[1] > 4 * right[1]:
+            return _pair(left[2], _pair(left[3], right)) if left[3][1] <= 4 * right[1] else _pair(_pair(left[2], left[3][2]), _pair(left[3][3], right))
+        return _pair(left, right)
+    return _pair(a, b)
+
+
+def parted(t: Tree | None, at: int) -> tuple[Tree | None, Tree | None]:
+    """The first `at` bytes, and the others."""
+    if t is None or at <= 0:
+        return None, t
+    if at >= t[0]:
+        return t, None
+    if t[1] == 1:
+        return (at, 1, t[2], t[3]), (t[0] - at, 1, t[2], t[3] + at)
+    if at <= t[2][0]:
+        a, b = parted(t[2], at)
+        return a, joined(b, t[3])
+    a, b = parted(t[3], at - t[2][0])
+    return joined(t[2], a), b
+
+
+def spliced(t: Tree | None, offset: int, delete: int, leaf: int, size: int) -> Tree | None:
+    """t with [offset, offset + delete) replaced by the whole leaf of so many bytes."""
+    left, rest = parted(t, offset)
+    return joined(joined(left, (size, 1, leaf, 0) if size else None), parted(rest, delete)[1])
+
+
+def pieces_of(t: Tree | None, begin: int = 0, end: int | None = None) -> Pieces:
+    """(leaf, offset, length) of the bytes in [begin, end); subtrees outside aren't visited."""
+    out: Pieces = []
+    stack = [(t, 0)] if t else []
+    while stack:
+        node, at = stack.pop()
+        if at + node[0] <= begin or end is not None and at >= end:
+            continue
+        if node[1] == 1:
+            lo, hi = max(begin - at, 0), node[0] if end is None else min(node[0], end - at)
+            out.append((node[2], node[3] + lo, hi - lo))
+        else:
+            stack += [(node[3], at + node[2][0]), (node[2], at)]
+    return out
+
+
+def of_pieces(pieces: Pieces) -> Tree | None:
+    if len(pieces) <= 1:
+        return (pieces[0][2], 1, pieces[0][0], pieces[0][1]) if pieces else None
+    mid = len(pieces) // 2
+    return joined(of_pieces(pieces[:mid]), of_pieces(pieces[mid:]))
+
+
+def shown(trees: Iterable[Tree]) -> dict[int, tuple[int, int]]:
+    """By leaf: the first byte and the end of what the trees show of it. A node that trees share is visited once."""
+    seen: set[int] = set()
+    out: dict[int, tuple[int, int]] = {}
+    stack = [t for t in trees if t]
+    while stack:
+        node = stack.pop()
+        if id(node) in seen:
+            continue
+        seen.add(id(node))
+        if node[1] == 1:
+            lo, hi = out.get(node[2], (node[3], node[3]))
+            out[node[2]] = min(lo, node[3]), max(hi, node[3] + node[0])
+        else:
+            stack += [node[2], node[3]]
+    return out
 
 
 class Replay:
@@ -44,7 +117,7 @@ class Replay:
 
     def __init__(self, history: int, horizon: int = RECEIPTS):
         self.history, self.horizon = history, horizon
-        self.versions: dict[int, tuple[Pieces, int, int | None]] = {}
+        self.versions: dict[int, tuple[Tree | None, int, int | None]] = {}
         self.leaves: dict[int, bytes] = {}
         self.expired: set[int] = set()
         self.bindings: dict[bytes, int] = {}
@@ -55,7 +128,19 @@ class Replay:
         self.last = -1
 
     def content(self, version: int) -> bytes:
-        return b"".join(self.leaves[leaf][off : off + n] for leaf, off, n in self.versions[version][0])
+        return b"".join(self.leaves[leaf][off : off + n] for leaf, off, n in pieces_of(self.versions[version][0]))
+
+    def live(self) -> dict[int, tuple[int, int]]:
+        """Leaves that retained versions show, and the extent of each."""
+        return shown(t for v, (t, _, _) in self.versions.items() if v not in self.expired)
+
+    def read(self, ask: dict) -> dict:
+        """Bytes [offset, offset + delete_len) of the version target_seq, or why there are none."""
+        version, off, n = ask["target_seq"], ask["offset"], ask["delete_len"]
+        found = self.versions.get(version)
+        error = "NotFound" if not found else "VersionExpired" if version in self.expired else "OutOfRange" if off < 0 or n < 0 or off + n > found[1] else None
+        got = None if error else b"".join(self.leaves[leaf][a : a + m] for leaf, a, m in pieces_of(found[0], off, off + n))
+        return {"history_id": self.history, "seq": version, "off": off, "n": n, "bytes_hex": None if got is None else got.hex().upper(), "error": error}
 
     def snapshot(self) -> Iterator[dict]:
         """Steps that restore this state: an expired version keeps its place but no pieces, and leaves that no retained
@@ -65,12 +150,10 @@ class Replay:
         if self.created:
             yield step("create", 0)
         of = {v: b for b, v in self.bindings.items()}
-        shown = set()
-        for seq, (pieces, size, parent) in self.versions.items():
+        for seq, (tree, size, parent) in self.versions.items():
             gone = seq in self.expired
-            shown.update(() if gone else (leaf for leaf, _, _ in pieces))
-            yield step("version", seq, parent_seq=parent, len=size, binding=of.get(seq), pieces=None if gone else [{"leaf": a, "off": b, "len": n} for a, b, n in pieces])
-        for leaf in sorted(shown):
+            yield step("version", seq, parent_seq=parent, len=size, binding=of.get(seq), pieces=None if gone else [{"leaf": a, "off": b, "len": n} for a, b, n in pieces_of(tree)])
+        for leaf in sorted(self.live()):
             yield step("leaf", leaf, insert=self.leaves[leaf])
         for place, request in enumerate(self.fresh):
             digest, version = self.active.get(request) or (self.retired[request], None)
@@ -87,7 +170,7 @@ class Replay:
             pieces = step["pieces"]
             if pieces is None:
                 self.expired.add(seq)
-            self.versions[seq] = [(p["leaf"], p["off"], p["len"]) for p in pieces or ()], step["len"], step["parent_seq"]
+            self.versions[seq] = of_pieces([(p["leaf"], p["off"], p["len"]) for p in pieces or ()]), step["len"], step["parent_seq"]
             if step["binding"] is not None:
                 self.bindings[step["binding"]] = seq
         elif kind == "leaf":
@@ -175,12 +258,12 @@ class Replay:
             self.bindings[binding] = op["seq"]
         seq = op["seq"]
         if kind == "fork":
-            pieces = self.versions[parent][0]
+            tree = self.versions[parent][0]
         else:
             if insert:
                 self.leaves[seq] = insert
-            pieces = splice_pieces(self.versions[parent][0] if parent is not None else [], offset, delete, seq, len(insert))
-        self.versions[seq] = pieces, sum(p[2] for p in pieces), parent
+            tree = spliced(self.versions[parent][0] if parent is not None else None, offset, delete, seq, len(insert))
+        self.versions[seq] = tree, tree[0] if tree else 0, parent
         if request is not None:
             self.active[request] = digest, seq
             self.fresh.append(request)
@@ -205,16 +288,16 @@ def _digest(domain: bytes, history: int, parent: int | None, offset=None, delete
     return hashlib.sha256(out + (b"\1" + u(len(binding)) + binding if binding is not None else b"\0")).hexdigest()
 
 
-def replay_rows(state: Replay, rows: Iterator[dict], digests: bool = True) -> Iterator[dict]:
+def replay_rows(state: Replay, rows: Iterator[dict], digests: bool = True, pieces: bool = True) -> Iterator[dict]:
     for op in rows:
         r = state.apply(op)
         made = r["outcome"] in ("Committed", "Forked")
-        pieces, size, parent = state.versions[op["seq"]] if made else (None, None, None)
+        tree, size, parent = state.versions[op["seq"]] if made else (None, None, None)
         yield {
             "history_id": op["history_id"], "seq": op["seq"], "op": op["op"], "outcome": r["outcome"], "error": r.get("error"),
             "version_seq": r.get("version_seq"), "parent_seq": parent, "len": size,
             "sha256": hashlib.sha256(state.content(op["seq"])).hexdigest() if made and digests else None, "digest": r.get("digest"),
-            "pieces": [{"leaf": a, "off": b, "len": n} for a, b, n in pieces] if made else None}
+            "pieces": [{"leaf": a, "off": b, "len": n} for a, b, n in pieces_of(tree)] if made and pieces else None}
 
 
 def _arrow(schema) -> pa.Schema:
@@ -228,50 +311,85 @@ def as_steps(log: DataFrame, phase: int = 1) -> DataFrame:
     return log.select(*[F.col(n) if n in OPERATION.fieldNames() else F.lit(phase if n == "phase" else None).cast(f.dataType).alias(n) for n, f in ((f.name, f) for f in STEP)])
 
 
-def _fold(steps: DataFrame, digests: bool, out: str, horizon: int = RECEIPTS) -> DataFrame:
-    schema = STEP if out == "snapshot" else OUTCOME
+LIVE = StructType([StructField(n, LongType()) for n in ("history_id", "leaf", "lo", "hi")])
+READ = StructType([*[StructField(n, LongType()) for n in ("history_id", "seq", "off", "n")], StructField("bytes_hex", StringType()), StructField("error", StringType())])
+#: Rows that a task gives out at once.
+ROWS_AT_ONCE = 4096
+
+
+def _fold(steps: DataFrame, out: str, horizon: int = RECEIPTS, digests: bool = False, pieces: bool = False) -> DataFrame:
+    """Folds steps by history, in order of phase and seq. What comes out: `outcomes` of phase 2, the `snapshot` at each
+    history's end, the `live` leaves then, or what reads (phase 3) find."""
+    schema = {"snapshot": STEP, "outcomes": OUTCOME, "live": LIVE, "reads": READ}[out]
     arrow = _arrow(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ending(state: Replay) -> Iterator[dict]:
+        if out == "snapshot":
+            yield from state.snapshot()
+        elif out == "live":
+            for leaf, (lo, hi) in state.live().items():
+                yield {"history_id": state.history, "leaf": leaf, "lo": lo, "hi": hi}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         state: Replay | None = None
         for batch in batches:
-            rows: list[dict] = []
-            for step in batch.to_pylist():
-                if state is None or state.history != step["history_id"]:
-                    if state is not None and out == "snapshot":
-                        rows.extend(state.snapshot())
-                    state = Replay(step["history_id"], horizon)
-                if step["phase"] == 0:
-                    state.restore(step)
-                elif out == "snapshot":
-                    state.apply(step)
-                elif step["phase"] == 1:
-                    state.apply(step)
-                else:
-                    rows.extend(replay_rows(state, iter([step]), digests))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-        if state is not None and out == "snapshot":
-            yield pa.RecordBatch.from_pylist(list(state.snapshot()), schema=arrow)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for step in batch.slice(at, ROWS_AT_ONCE).to_pylist():
+                    if state is None or state.history != step["history_id"]:
+                        if state is not None:
+                            yield from ending(state)
+                        state = Replay(step["history_id"], horizon)
+                    if step["phase"] == 0:
+                        state.restore(step)
+                    elif step["phase"] == 3:
+                        yield state.read(step)
+                    elif step["phase"] == 1 or out != "outcomes":
+                        state.apply(step)
+                    else:
+                        yield from replay_rows(state, iter([step]), digests, pieces)
+        if state is not None:
+            yield from ending(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = rows(batches)
+        while part := list(islice(found, ROWS_AT_ONCE)):
+            yield pa.RecordBatch.from_pylist(part, schema=arrow)
 
     return on_workers(steps).repartition("history_id").sortWithinPartitions("history_id", "phase", "seq").mapInArrow(run, schema)
 
 
-def replay(log: DataFrame, digests: bool = True, horizon: int = RECEIPTS) -> DataFrame:
+def replay(log: DataFrame, digests: bool = True, horizon: int = RECEIPTS, pieces: bool = True) -> DataFrame:
     """The outcome of every operation (OUTCOME), by history in order of seq.
 
-    A task streams its histories in sorted order and keeps one history's versions at a time, as pieces."""
-    return _fold(as_steps(log, 2), digests, "outcomes", horizon)
+    A task streams its histories in sorted order and keeps one history's versions at a time, as trees that share nodes: an
+    edit costs O(log pieces). digests (of whole contents) and pieces (whole lists) are the parts of an outcome that grow with
+    its version; without them the result grows with the log alone."""
+    return _fold(as_steps(log, 2), "outcomes", horizon, digests, pieces)
+
+
+def live_leaves(log: DataFrame) -> DataFrame:
+    """(history_id, leaf, lo, hi): leaves that a log's retained versions show, and the extent of each that is used. Nodes that
+    versions share are visited once, and no list of pieces leaves the fold."""
+    return _fold(as_steps(log), "live")
+
+
+def read_log(steps: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (history_id, seq, off, n) with bytes_hex, or error NotFound, VersionExpired or OutOfRange, of what steps (a
+    snapshot's, operations) lead to. A read visits the pieces in its range alone."""
+    asked = requests.select(*[{
+        "phase": F.lit(3), "history_id": F.col("history_id"), "seq": F.col("seq"), "target_seq": F.col("seq"), "offset": F.col("off"), "delete_len": F.col("n"), "op": F.lit("read")
+    }.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in STEP])
+    return _fold(steps.unionByName(asked), "reads")
 
 
 def resume(steps: DataFrame, log: DataFrame, digests: bool = True) -> DataFrame:
     """The outcomes of log's operations behind steps (a snapshot's, and operations since): what a replay of all would give."""
-    return _fold(steps.unionByName(as_steps(log, 2)), digests, "outcomes")
+    return _fold(steps.unionByName(as_steps(log, 2)), "outcomes", digests=digests, pieces=True)
 
 
 def snapshot(steps: DataFrame, horizon: int = RECEIPTS) -> DataFrame:
     """Steps that restore what steps lead to, without the bytes that only expired versions show."""
-    return _fold(steps, False, "snapshot", horizon)
+    return _fold(steps, "snapshot", horizon)
 
 
 def receipts(steps: DataFrame, horizon: int = RECEIPTS) -> DataFrame:
@@ -362,9 +480,10 @@ def route_index(keys: DataFrame, key: str = "key") -> DataFrame:
     return dense_ids(keys.withColumn("hash", F.sha2(F.encode(F.col(key).cast("string"), "UTF-8"), 256)), "hash", "pos", then=(key,))
 
 
-def collect_garbage(versions: DataFrame, leaves: DataFrame) -> DataFrame:
-    """One row per history: leaves and bytes before, after and reclaimed. leaves: (history_id, leaf, size)."""
-    live = leaves.join(reachable(versions), ["history_id", "leaf"], "left").withColumn("live", F.col("lo").isNotNull())
+def collect_garbage(live: DataFrame, leaves: DataFrame) -> DataFrame:
+    """One row per history: leaves and bytes before, after and reclaimed. live: live_leaves() or reachable(); leaves:
+    (history_id, leaf, size)."""
+    live = leaves.join(live.select("history_id", "leaf", "lo"), ["history_id", "leaf"], "left").withColumn("live", F.col("lo").isNotNull())
     return live.groupBy("history_id").agg(
         F.count(F.lit(1)).alias("leaves_before"), F.count_if("live").alias("leaves_after"), F.count_if(~F.col("live")).alias("leaves_reclaimed"),
         F.sum("size").alias("bytes_before"), F.coalesce(F.sum(F.when(F.col("live"), F.col("size"))), F.lit(0)).alias("bytes_after"))

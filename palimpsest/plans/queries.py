@@ -513,8 +513,8 @@ live AS (SELECT DISTINCT h, unnest(src) AS seq FROM ver WHERE retained)
 """
 
 
-def _versions(spark, sf_dir) -> DataFrame:
-    return history.with_lifecycle(written(history.replay(operations(spark, sf_dir))))
+def _versions(spark, sf_dir, digests: bool = False, pieces: bool = False) -> DataFrame:
+    return history.with_lifecycle(written(history.replay(operations(spark, sf_dir), digests, pieces=pieces)))
 
 
 def _leaves(spark, sf_dir, versions: DataFrame) -> DataFrame:
@@ -526,7 +526,7 @@ def _leaves(spark, sf_dir, versions: DataFrame) -> DataFrame:
 @query(OPS + "SELECT h AS history_id, seq, CASE WHEN m = 0 THEN 'Forked' ELSE 'Committed' END AS outcome, strlen(c) AS len, sha256(c) AS sha256, retained FROM ver")
 def splice_replay(spark, sf_dir):
     """All versions that an operation log commits, by content digest."""
-    return _versions(spark, sf_dir).select("history_id", "seq", "outcome", "len", "sha256", "retained")
+    return _versions(spark, sf_dir, digests=True).select("history_id", "seq", "outcome", "len", "sha256", "retained")
 
 
 @query(OPS + "SELECT h AS history_id, seq, row_number() OVER (ORDER BY seq) - 1 AS version_id FROM v")
@@ -557,22 +557,20 @@ def expire_outcomes(spark, sf_dir):
 @query(OPS + """SELECT leaf.h AS history_id, count(*) AS leaves_before, count(live.seq) AS leaves_after, count(*) - count(live.seq) AS leaves_reclaimed, CAST(sum(size) AS BIGINT) AS bytes_before, CAST(coalesce(sum(size) FILTER (WHERE live.seq IS NOT NULL), 0) AS BIGINT) AS bytes_after
 FROM leaf LEFT JOIN live ON live.h = leaf.h AND live.seq = leaf.seq GROUP BY leaf.h""")
 def gc_reachable(spark, sf_dir):
-    v = written(_versions(spark, sf_dir))
-    return history.collect_garbage(v, _leaves(spark, sf_dir, v).drop("payload"))
+    return history.collect_garbage(history.live_leaves(operations(spark, sf_dir)), _leaves(spark, sf_dir, _versions(spark, sf_dir)).drop("payload"))
 
 
 @query(OPS + """SELECT h AS history_id, seq AS leaf, row_number() OVER w - 1 AS new_leaf, CAST(sum(size) OVER w - size AS BIGINT) AS new_offset FROM leaf SEMI JOIN live USING (h, seq) WINDOW w AS (PARTITION BY h ORDER BY seq)""")
 def repack_offsets(spark, sf_dir):
-    v = written(_versions(spark, sf_dir))
-    return history.repack(_leaves(spark, sf_dir, v).drop("payload"), history.reachable(v)).select("history_id", "leaf", "new_leaf", "new_offset")
+    live = history.live_leaves(operations(spark, sf_dir))
+    return history.repack(_leaves(spark, sf_dir, _versions(spark, sf_dir)).drop("payload"), live).select("history_id", "leaf", "new_leaf", "new_offset")
 
 
 @query(OPS + """SELECT h AS history_id, seq, seq % 5 AS off, 9 AS n, CASE WHEN retained AND seq % 5 + 9 <= strlen(c) THEN hex(encode(substr(c, seq % 5 + 1, 9))) END AS bytes_hex,
   CASE WHEN NOT retained THEN 'VersionExpired' WHEN seq % 5 + 9 > strlen(c) THEN 'OutOfRange' END AS error FROM ver""")
 def version_read(spark, sf_dir):
-    v = written(_versions(spark, sf_dir))
-    asked = v.select("history_id", "seq", (F.col("seq") % 5).alias("off"), F.lit(9).cast("long").alias("n"))
-    return history.read(v, _leaves(spark, sf_dir, v).drop("size"), asked)
+    asked = _versions(spark, sf_dir).select("history_id", "seq", (F.col("seq") % 5).alias("off"), F.lit(9).cast("long").alias("n"))
+    return history.read_log(history.as_steps(operations(spark, sf_dir)), asked)
 
 
 @query("""SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'Fresh' WHEN event_type = first_value(event_type) OVER w THEN 'Replayed' ELSE 'Conflict' END AS outcome
@@ -616,7 +614,7 @@ def compact_referenced(spark, sf_dir):
 @query(OPS + "SELECT h AS history_id, count(DISTINCT seq) AS leaves FROM (SELECT h, unnest(src) AS seq FROM ver WHERE rn % 2 = 1) GROUP BY h")
 def image_export(spark, sf_dir):
     """Leaves in an image of some roots."""
-    v = written(_versions(spark, sf_dir))
+    v = written(_versions(spark, sf_dir, pieces=True))
     roots = operations(spark, sf_dir).withColumn("rn", F.row_number().over(W.partitionBy("history_id").orderBy("seq")) - 1).filter("rn % 2 = 1").select("history_id", "seq")
     _, used = compaction.export_image(v, _leaves(spark, sf_dir, v), roots)
     return used.groupBy("history_id").agg(F.count(F.lit(1)).alias("leaves"))
@@ -626,7 +624,7 @@ def image_export(spark, sf_dir):
 UNION ALL SELECT h, seq, 'Length' FROM ver WHERE seq % 11 = 0 AND NOT list_contains(list_transform(src, lambda x: x % 13 = 0), true)""")
 def version_verify(spark, sf_dir):
     """Structural faults of all versions, where some leaves are lost and some lengths are wrong."""
-    v = written(_versions(spark, sf_dir))
+    v = written(_versions(spark, sf_dir, pieces=True))
     broken = v.withColumn("len", F.col("len") + F.when(F.col("seq") % 11 == 0, 1).otherwise(0))
     return compaction.image_faults(broken, _leaves(spark, sf_dir, v).filter("leaf % 13 <> 0"))
 
@@ -637,7 +635,7 @@ FROM op o LEFT JOIN v USING (h, rn, seq) GROUP BY o.h""")
 def work_counters(spark, sf_dir):
     """What a replay allocated and wrote, by history."""
     log = operations(spark, sf_dir)
-    return history.work(history.replay(log), log)
+    return history.work(history.replay(log, False, pieces=False), log)
 
 
 # Request ledgers and bindings: root splices under request ids that come again, expiries, retirements, bound versions.
@@ -675,7 +673,7 @@ def requests_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _decided(spark, sf_dir) -> DataFrame:
     """history_id, seq, op, outcome: of rejected operations the error."""
-    return history.replay(requests_log(spark, sf_dir)).filter("op <> 'create'").withColumn("outcome", F.coalesce("error", "outcome"))
+    return history.replay(requests_log(spark, sf_dir), False, pieces=False).filter("op <> 'create'").withColumn("outcome", F.coalesce("error", "outcome"))
 
 
 @query(LEDGER + "SELECT history_id, seq, outcome FROM done WHERE m NOT IN (6, 7)")
@@ -696,7 +694,7 @@ UNION ALL SELECT DISTINCT h, 'none', 1, 3, NULL, 'NotFound' FROM op""")
 def binding_reads(spark, sf_dir):
     """Bytes read through the names that versions were bound to."""
     log = written(requests_log(spark, sf_dir))
-    v = written(history.with_lifecycle(history.replay(log)).join(log.select("history_id", "seq", "binding"), ["history_id", "seq"]))
+    v = written(history.with_lifecycle(history.replay(log, False)).join(log.select("history_id", "seq", "binding"), ["history_id", "seq"]))
     leaves = log.filter("insert is not null").select("history_id", F.col("seq").alias("leaf"), F.col("insert").alias("payload"))
     named = v.filter("binding is not null").select("history_id", "binding").unionByName(v.select("history_id", F.encode(F.lit("none"), "UTF-8").alias("binding")).distinct())
     got = history.read_bound(v, leaves, named.select("*", F.lit(1).cast("long").alias("off"), F.lit(3).cast("long").alias("n")))
@@ -728,7 +726,7 @@ def eviction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVICTION + "SELECT h AS history_id, seq, CASE WHEN done THEN 'RequestRetired' ELSE 'UnknownRequest' END AS outcome FROM won")
 def receipt_eviction(spark, sf_dir):
     """Retirements where only the newest five receipts of a history are known."""
-    return history.replay(eviction_log(spark, sf_dir), False, HORIZON).filter("op = 'retire'").select("history_id", "seq", F.coalesce("error", "outcome").alias("outcome"))
+    return history.replay(eviction_log(spark, sf_dir), False, HORIZON, pieces=False).filter("op = 'retire'").select("history_id", "seq", F.coalesce("error", "outcome").alias("outcome"))
 
 
 @query(EVICTION + f"""SELECT f.h AS history_id, CAST(f.id AS VARCHAR) AS request_id, CASE WHEN w.id IS NULL THEN 'Active' ELSE 'Retired' END AS state

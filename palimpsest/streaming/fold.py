@@ -37,7 +37,7 @@ def stream_replay(log: DataFrame) -> DataFrame:
         last, own = pickle.loads(state.get[0]) if state.exists else (-1, Replay(int(key[0])))
         batch = pd.concat(list(frames)).sort_values("seq")
         ops = [op for op in _ops(batch[COLUMNS]) if op["seq"] > last]
-        out = [{k: r[k] for k in NAMES} for r in replay_rows(own, iter(ops))]
+        out = [{k: r[k] for k in NAMES} for r in replay_rows(own, iter(ops), pieces=False)]
         if ops:
             state.update((pickle.dumps((ops[-1]["seq"], own)),))
         yield pd.DataFrame(out, columns=NAMES).astype({k: "Int64" for k in ("history_id", "seq", "version_seq", "parent_seq", "len")})

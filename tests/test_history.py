@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import canon
 from palimpsest.model import OPERATION
 from palimpsest.operators import history
-from palimpsest.operators.history import Replay, _digest, splice_pieces
+from palimpsest.operators.history import Replay, _digest, of_pieces, pieces_of, shown, spliced
 
 
 def op(seq, kind, **more):
@@ -17,15 +17,42 @@ def op(seq, kind, **more):
 
 
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 9), st.binary(max_size=6)), max_size=30))
-def test_pieces_are_bytes(edits):
-    leaves, pieces, plain = {0: b"start"}, [(0, 0, 5)], b"start"
+def test_trees_are_bytes(edits):
+    leaves, tree, plain = {0: b"start"}, (5, 1, 0, 0), b"start"
     for i, (o, d, ins) in enumerate(edits, 1):
         o = min(o, len(plain))
         d = min(d, len(plain) - o)
         leaves[i] = ins
-        pieces = splice_pieces(pieces, o, d, i, len(ins))
+        tree = spliced(tree, o, d, i, len(ins))
         plain = plain[:o] + ins + plain[o + d :]
-        assert b"".join(leaves[a][b : b + n] for a, b, n in pieces) == plain and all(n > 0 for _, _, n in pieces)
+        pieces = pieces_of(tree)
+        text = lambda p: b"".join(leaves[a][b : b + n] for a, b, n in p)
+        assert text(pieces) == plain and all(n > 0 for _, _, n in pieces) and pieces_of(of_pieces(pieces)) == pieces
+        assert text(pieces_of(tree, 2, 7)) == plain[2:7] and (tree[0] if tree else 0) == len(plain)
+        assert shown([tree]).keys() == {a for a, _, _ in pieces}
+
+
+def nodes_of(*trees):
+    seen, stack = {}, [t for t in trees if t]
+    while stack:
+        t = stack.pop()
+        if id(t) not in seen:
+            seen[id(t)] = t
+            stack += [t[2], t[3]] if t[1] > 1 else []
+    return seen
+
+
+def test_edits_share_nodes():
+    """A splice into a version of many pieces makes few nodes, and trees stay shallow."""
+    rng, tree, versions = random.Random(1), None, []
+    for i in range(4000):
+        size = tree[0] if tree else 0
+        tree = spliced(tree, rng.randint(0, size) if i % 2 else size, 0, i, 5)
+        versions.append(tree)
+    depth = lambda t: 1 if t[1] == 1 else 1 + max(depth(t[2]), depth(t[3]))
+    assert tree[1] > 4000 and depth(tree) < 40
+    edited = spliced(tree, tree[0] // 2, 7, 9999, 5)
+    assert len(nodes_of(edited).keys() - nodes_of(tree).keys()) < 100
 
 
 def run(*ops):
@@ -107,6 +134,33 @@ def test_replay_by_partitions(spark):
                 assert g["len"] == len(state.content(o["seq"])) == sum(p["len"] for p in g["pieces"])
 
 
+def test_output_grows_with_the_log(spark):
+    """Twice the operations in one history: twice the rows and bytes of outcomes, twice the live leaves."""
+    import pickle
+
+    def rows(n):
+        ops = [op(0, "create"), *(op(i, "splice", parent_seq=i - 1 if i > 1 else None, offset=0, delete_len=0, insert=b"x" * 8) for i in range(1, n))]
+        log = frame(spark, ops)
+        outcomes, live = history.replay(log, False, pieces=False).collect(), history.live_leaves(log).collect()
+        assert len(outcomes) == n and len(live) == n - 1
+        return len(pickle.dumps([tuple(r) for r in outcomes])) + len(pickle.dumps([tuple(r) for r in live]))
+
+    assert rows(2000) < 2.2 * rows(1000)
+
+
+def test_reads_of_a_log(spark):
+    log = random_log(3, 60, 2)
+    state = {h: Replay(h) for h in range(2)}
+    for o in log:
+        state[o["history_id"]].apply(o)
+    asked = [(h, v, off, n) for h, s in state.items() for v in [*s.versions, 77_777] for off, n in ((0, 2), (1, 3), (0, 0), (-1, 2), (2, 10_000))]
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in history.read_log(history.as_steps(frame(spark, log)), spark.createDataFrame(asked, "history_id long, seq long, off long, n long")).collect()}
+    for h, v, off, n in asked:
+        s = state[h]
+        error = "NotFound" if v not in s.versions else "VersionExpired" if v in s.expired else "OutOfRange" if off < 0 or off + n > len(s.content(v)) else None
+        assert got[h, v, off, n] == ((None, error) if error else (s.content(v)[off : off + n].hex().upper(), None))
+
+
 def test_digests_agree(spark):
     rows = [(1, 2, 3, 4, b"\xff\x00", b"b"), (200, None, 0, 0, b"", None), ((1 << 62), 255, 1 << 40, 9, b"x" * 300, b"\x80")]
     df = spark.createDataFrame(rows, "h long, p long, o long, d long, i binary, b binary")
@@ -158,7 +212,7 @@ def test_store_resumes_like_a_full_replay(spark, tmp_path):
     for sealed in (False, True):
         if sealed:
             gone = store.collect_garbage()
-            assert gone["bytes_reclaimed"] > 0 and gone["bytes_after"] == sum(len(s.leaves[x]) for s in states.values() for x in {p[0] for v, d in s.versions.items() if v not in s.expired for p in d[0]})
+            assert gone["bytes_reclaimed"] > 0 and gone["bytes_after"] == sum(len(s.leaves[x]) for s in states.values() for x in {p[0] for v, d in s.versions.items() if v not in s.expired for p in pieces_of(d[0])})
         assert {(r["history_id"], r["seq"]): (r["len"], r["retained"]) for r in store.versions().collect()} == {(h, v): (d[1], v not in s.expired) for h, s in states.items() for v, d in s.versions.items()}
         assert store.verify()["failures"] == 0
         assert {(r["history_id"], bytes(r["request_id"]), r["state"]) for r in store.receipts().collect()} == {(h, q, "Active" if q in s.active else "Retired") for h, s in states.items() for q in s.fresh}
