@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import OPERATION, OUTCOME, RECEIPTS, STEP
-from .operators import history
+from .operators import compaction, history
 from .scratch import dropped, written
 
 BUCKETS = 64
@@ -129,6 +129,31 @@ class HistoryStore:
         kept.withColumn("bucket", bucket(F.col("history_id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/snapshot-{g}")
         return g
 
+    def export_image(self, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The retained versions among roots (history_id, seq), and the leaves that they show: tables that import_image() takes."""
+        return compaction.export_image(self.versions().filter("retained"), self.leaves(), roots)
+
+    def import_image(self, versions: DataFrame, leaves: DataFrame) -> int:
+        """Makes an image the first generation of an empty store; how many versions. Parents that aren't in the image become
+        null; an image with structural faults is refused."""
+        if self.generation() or self._there("log-*"):
+            raise ValueError("the store isn't empty")
+        versions, leaves = written(versions.select("history_id", "seq", "parent_seq", "len", "binding", "pieces")), written(leaves.select("history_id", "leaf", "payload"))
+        if bad := compaction.image_faults(versions, leaves).first():
+            raise ValueError(f"{bad['history_id']}/{bad['seq']}: {bad['fault']}")
+        there = versions.select("history_id", F.col("seq").alias("parent_seq"), F.lit(True).alias("there"))
+        linked = versions.join(there, ["history_id", "parent_seq"], "left").withColumn("parent_seq", F.when(F.col("there"), F.col("parent_seq"))).drop("there")
+        own = versions.groupBy("history_id").agg(F.max("seq").alias("seq"))
+
+        def steps(df: DataFrame, **more: Column | None) -> DataFrame:
+            found = {"phase": F.lit(0)} | {c: F.col(c) for c in df.columns} | more
+            return df.select(*[found.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in STEP])
+
+        made = steps(linked, op=F.lit("version")).unionByName(steps(leaves, op=F.lit("leaf"), seq=F.col("leaf"), insert=F.col("payload")))
+        made = made.unionByName(steps(own, op=F.lit("last"))).unionByName(steps(own, op=F.lit("create"), seq=F.lit(0)))
+        made.withColumn("bucket", bucket(F.col("history_id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/snapshot-1")
+        return versions.count()
+
     def collect_garbage(self) -> dict:
         """Seals, and deletes the generations before; leaves and bytes before, after and reclaimed."""
         count = lambda: self.leaves().agg(F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes")).first()

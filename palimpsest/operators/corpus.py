@@ -166,8 +166,9 @@ def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def corpus_faults(nodes: DataFrame, seen: DataFrame, given: DataFrame) -> DataFrame:
-    """(instance_id, fault, n) of nodes that don't hold: repeated ids, missing or later parents, wrong lengths, counts that
-    differ from the paths, and totals (given: instance_id, observed_nodes, unique_nodes, observed_bytes, unique_bytes) that differ."""
+    """(instance_id, fault, n) of nodes that don't hold: repeated ids, missing or later parents, wrong lengths, ids that aren't
+    the digest of the parent's and the one message, steps of paths that aren't edges, counts that differ from the paths, and
+    totals (given: instance_id, observed_nodes, unique_nodes, observed_bytes, unique_bytes) that differ."""
     fault = lambda df, name: df.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n")).select("instance_id", F.lit(name).alias("fault"), "n")
     twice = nodes.groupBy("instance_id", "node").count().filter("count > 1")
     parents = nodes.select("instance_id", F.col("node").alias("parent"), F.col("depth").alias("above"), F.col("state_len").alias("before"))
@@ -175,11 +176,13 @@ def corpus_faults(nodes: DataFrame, seen: DataFrame, given: DataFrame) -> DataFr
     orphan = linked.filter("parent is not null and above is null or parent is null and depth <> 1")
     order = linked.filter("above is not null and above + 1 <> depth")
     size = linked.filter(F.col("state_len") != F.coalesce(F.col("before") + 1, F.lit(canon.EMPTY_STATE_LEN)) + F.octet_length("message"))
+    digest = nodes.filter(F.col("node") != F.sha2(F.concat_ws(",", F.coalesce("parent", F.lit("")), F.sha2("message", 256)), 256))
+    edges = seen.join(nodes.select("instance_id", "node", F.col("parent").alias("above"), F.col("depth").alias("at")), ["instance_id", "node"]).filter("not (parent <=> above and depth = at)")
     counted = seen.groupBy("instance_id", "node").agg(F.count(F.lit(1)).alias("c"))
     counts = nodes.join(counted, ["instance_id", "node"], "full").filter("not (observations <=> c)")
     totals = trie_stats(nodes).join(given.select("instance_id", *[F.col(c).alias(f"g_{c}") for c in ("observed_nodes", "unique_nodes", "observed_bytes", "unique_bytes")]), "instance_id", "full").filter(
         "not (observed_nodes <=> g_observed_nodes and unique_nodes <=> g_unique_nodes and observed_bytes <=> g_observed_bytes and unique_bytes <=> g_unique_bytes)")
     out = fault(twice, "DuplicateNode")
-    for df, name in ((orphan, "MissingParent"), (order, "ParentOrder"), (size, "StateLength"), (counts, "Observations"), (totals, "Totals")):
+    for df, name in ((orphan, "MissingParent"), (order, "ParentOrder"), (size, "StateLength"), (digest, "NodeDigest"), (edges, "PathEdge"), (counts, "Observations"), (totals, "Totals")):
         out = out.unionByName(fault(df, name))
     return out

@@ -390,11 +390,15 @@ def shared_nodes(spark, sf_dir):
     return t.agg(F.count_if(F.col("observations") > 1).alias("shared_nodes"), F.count(F.lit(1)).alias("nodes"))
 
 
-@query(corpus_sql() + "SELECT instance_id, 'Totals' AS fault, 1 AS n FROM prof WHERE instance_id = 'de'")
+@query(corpus_sql() + """SELECT instance_id, 'Totals' AS fault, 1 AS n FROM prof WHERE instance_id = 'de'
+UNION ALL SELECT instance_id, f, count(*) FROM trie, (SELECT unnest(['NodeDigest', 'StateLength']) AS f) WHERE instance_id = 'en' AND depth = 2 GROUP BY ALL
+UNION ALL SELECT instance_id, 'PathEdge', count(*) FROM seen WHERE instance_id = 'fr' AND depth = 3 GROUP BY ALL""")
 def corpus_verify(spark, sf_dir):
-    """Every check of a frozen corpus, whose totals are wrong for one instance."""
+    """Every check of a frozen corpus, whose totals are wrong for one instance, messages for another, steps for a third."""
     seen = written(corpus.observations(attempts(spark, sf_dir)))
     t = written(corpus.trie(seen))
+    seen = seen.withColumn("parent", F.when((F.col("instance_id") == "fr") & (F.col("depth") == 3), "x").otherwise(F.col("parent")))
+    t = t.withColumn("message", F.when((F.col("instance_id") == "en") & (F.col("depth") == 2), F.concat("message", F.lit(" "))).otherwise(F.col("message")))
     given = corpus.trie_stats(t).withColumn("unique_nodes", F.col("unique_nodes") + F.when(F.col("instance_id") == "de", 1).otherwise(0))
     return corpus.corpus_faults(t, seen, given)
 
@@ -430,7 +434,7 @@ def pct_nearest(spark, sf_dir):
 
 @query("SELECT l_returnflag, CAST(round_even(quantile_cont(CAST(l_quantity AS DOUBLE), 0.5), 0) AS BIGINT) AS p50, CAST(round_even(quantile_cont(CAST(l_quantity AS DOUBLE), 0.95), 0) AS BIGINT) AS p95 FROM lineitem GROUP BY 1")
 def pct_linear(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(stats.linear("l_quantity", 0.5).alias("p50"), stats.linear("l_quantity", 0.95).alias("p95"))
+    return stats.linear(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""WITH v AS (SELECT l_returnflag, list_sort(list(CAST(round(l_extendedprice) AS BIGINT))) AS x, count(*) AS n FROM lineitem GROUP BY 1)

@@ -3,6 +3,7 @@ small and lost executors cost a reread only."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def root(spark: SparkSession) -> str:
     out = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not out:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # on a cluster each machine would write to its own disk
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         out = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", out)
     return out.rstrip("/")

@@ -67,9 +67,9 @@ class ShadowSaver:
         parent = self._mirrored_parent(at, thread)
         before = self._messages(thread, parent) if parent else []
         if now[: len(before)] != before:
-            raise StoreError("Invalid", f"channel {self.channel} isn't append-only at {checkpoint_id}")
+            raise StoreError("Invalid", f"{checkpoint_id} changes messages of {self.channel} that were mirrored before")
         if len(now) > len(before):
-            self.store.put(thread, str(checkpoint_id), self.store.rows().count(), parent, now[len(before) :])
+            self.store.put(thread, str(checkpoint_id), len(now), parent, now[len(before) :])
 
     def _messages(self, thread: str, checkpoint_id: str) -> list[str] | None:
         """The mirrored messages of a checkpoint, as they were put; None if it isn't mirrored."""

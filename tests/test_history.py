@@ -220,6 +220,31 @@ def test_store_resumes_like_a_full_replay(spark, tmp_path):
         assert store.content(h, v) == states[h].content(v)
 
 
+def test_images_move_between_stores(spark, tmp_path):
+    from palimpsest.authority import HistoryStore
+
+    log = random_log(5, 60, 2)
+    one, two = (HistoryStore(spark, f"file://{tmp_path}/{n}") for n in ("one", "two"))
+    one.apply(frame(spark, log))
+    state = {h: Replay(h) for h in range(2)}
+    for o in log:
+        state[o["history_id"]].apply(o)
+    kept = [(h, v) for h, s in state.items() for v in s.versions if v not in s.expired][::2]
+    versions, leaves = one.export_image(spark.createDataFrame(kept, "history_id long, seq long"))
+    assert two.import_image(versions, leaves) == len(kept) and two.verify() == {"checked": len(kept), "failures": 0}
+    asked = spark.createDataFrame([(h, v, 0, len(state[h].content(v))) for h, v in kept], "history_id long, seq long, off long, n long")
+    assert {(r["history_id"], r["seq"]): r["bytes_hex"] for r in two.read(asked).collect()} == {(h, v): state[h].content(v).hex().upper() for h, v in kept}
+    h, v = kept[-1]
+    more = two.apply(frame(spark, [op(90_000, "append", history_id=h, parent_seq=v, insert=b"more")])).first()
+    assert more["outcome"] == "Committed" and two.content(h, 90_000) == state[h].content(v) + b"more"
+    for broken in (lambda: two.import_image(versions, leaves), lambda: HistoryStore(spark, f"file://{tmp_path}/three").import_image(versions, leaves.limit(1))):
+        try:
+            broken()
+            raise AssertionError("refused")
+        except ValueError:
+            pass
+
+
 def test_store_by_single_operations(spark, tmp_path):
     from palimpsest.authority import HistoryStore
 
