@@ -634,12 +634,13 @@ def version_verify(spark, sf_dir):
 
 
 @query(OPS + """SELECT o.h AS history_id, count(*) + 1 AS operations, count(v.seq) AS versions_allocated, count(*) FILTER (WHERE v.m IN (9, 1, 2, 3)) AS leaves_allocated,
-  CAST(coalesce(sum(strlen(o.t)) FILTER (WHERE v.m IN (9, 1, 2, 3)), 0) AS DECIMAL(20, 0)) AS payload_bytes_written, CAST(sum(coalesce(strlen(v.c), 0)) AS DECIMAL(20, 0)) AS logical_bytes
+  CAST(coalesce(sum(strlen(o.t)) FILTER (WHERE v.m IN (9, 1, 2, 3)), 0) AS BIGINT) AS payload_bytes_written, CAST(sum(coalesce(strlen(v.c), 0)) AS BIGINT) AS logical_bytes
 FROM op o LEFT JOIN v USING (h, rn, seq) GROUP BY o.h""")
 def work_counters(spark, sf_dir):
     """What a replay allocated and wrote, by history."""
     log = operations(spark, sf_dir)
-    return history.work(history.replay(log, False, pieces=False), log)
+    done = history.work(history.replay(log, False, pieces=False), log)
+    return done.withColumns({c: F.col(c).cast("long") for c in ("payload_bytes_written", "logical_bytes")})
 
 
 # Request ledgers and bindings: root splices under request ids that come again, expiries, retirements, bound versions.

@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .functions import canon
 from .model import CHECKPOINT, TOMBSTONE
-from .operators import checkpoints, forest
+from .operators import checkpoints, compaction, forest
 from .scratch import written
 from .sources import files, jsonl, metrics
 
@@ -251,20 +251,28 @@ class Store:
         asked = self.spark.createDataFrame([(thread_id, checkpoint_id)], "thread_id string, checkpoint_id string")
         return checkpoints.lookup(self.rows(), self.tombstones(), asked, KEY).first()["status"]
 
+    def _way(self, thread_id: str, checkpoint_id: str) -> DataFrame:
+        """The rows from a checkpoint's root to it, with depth: no other state of the thread is built."""
+        rows = written(self._nodes(self.rows().filter(F.col("thread_id") == thread_id)))
+        path = written(compaction.keep_ancestry(rows, rows.filter(F.col("node") == checkpoint_id)))
+        return path.join(forest.depths(path), ["thread", "node"])
+
     def get(self, thread_id: str, checkpoint_id: str) -> str:
-        found = self.states(thread_id).filter(F.col("checkpoint_id") == checkpoint_id).first()
+        body = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("depth", "messages"))), lambda x: x["messages"])), ",")
+        last = lambda c: F.max_by(c, "depth").alias(c)
+        one = self._way(thread_id, checkpoint_id).agg(body.alias("body"), last("identity"), last("result"), F.count(F.lit(1)).alias("n"))
+        found = one.select("n", canon.framed(F.col("body"), F.col("identity"), F.col("result")).alias("state")).first()
         self._count(read_requests=1)
-        if not found:
+        if not found["n"]:
             raise StoreError(self.status(thread_id, checkpoint_id), f"{thread_id}/{checkpoint_id}")
         return found["state"]
 
     def messages(self, thread_id: str, checkpoint_id: str) -> list[str]:
         """A checkpoint's messages from its root on, as they were appended."""
-        way = forest.fold_to_root(self._nodes(self.rows().filter(F.col("thread_id") == thread_id)), F.col("messages"), lambda a, b: F.concat(a, b))
-        found = way.filter(F.col("node") == checkpoint_id).first()
+        found = self._way(thread_id, checkpoint_id).select("depth", "messages").orderBy("depth").collect()
         if not found:
             raise StoreError(self.status(thread_id, checkpoint_id), f"{thread_id}/{checkpoint_id}")
-        return found["value"]
+        return [m for r in found for m in r["messages"]]
 
     def read_range(self, thread_id: str, checkpoint_id: str, offset: int, length: int) -> bytes:
         state = self.get(thread_id, checkpoint_id).encode()
