@@ -106,6 +106,26 @@ def test_packing_of_added_tokens(spark):
     packed_well(pairs(docs), packing.with_crc32(packing.pack(docs, path)).collect())
 
 
+def test_packing_ids_are_the_librarys():
+    import pyarrow.parquet as pq
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    own, library = packing.tokenizer(path), __import__("tokenizers").Tokenizer.from_file(path)
+    given = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for t in [*given, "", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", " <|endoftext|>\n\n", "é<|endoftext|>漢字", "\u2028x \x00"]:
+        assert own(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+    for i, change in enumerate([{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}]):
+        (tmp_path / f"{i}.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            packing.tokenizer(str(tmp_path / f"{i}.json"))
+
+
 def test_windows_are_near_equal():
     """A full block's windows differ by few tokens, so that none exceeds the capacity and little stays free."""
     rng = random.Random(4)
@@ -828,6 +848,30 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_very_long_texts(spark):
+    """A text of 200,000 words beside a short one: counted, searched, cut and scored whole by every operator."""
+    rng = random.Random(8)
+    own = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(5000)]
+    words = [rng.choice(own) for _ in range(200_000)]
+    words[150_000] = "token=abcdefghijklmnopq1 bob@mail.example.com"
+    words[-20:] = ["Released", "under", "the", "MIT", "License."] * 4
+    long = "".join(w + ("\n" if i % 11 == 0 else " ") for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, long, "en"), (2, "short text", "en"), (3, long + " ", "de")], "doc_id long, text string, lang string")
+    one = lambda df: {r["doc_id"]: r for r in df.collect()}
+    listed = ",".join(f"{k}:{s}:{e}" for s, _, e, k in slow_spans(long)[1])
+    assert one(secrets.digests(secrets.scan(docs)))[1]["spans"] == listed and "email" in listed
+    assert long[:1_000] in one(secrets.redact(docs))[1]["text"] and "[SECRET]" in one(secrets.redact(docs))[1]["text"]
+    stats = one(quality.statistics(docs))[1]
+    assert tuple(stats[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == slow_statistics(long)
+    assert one(simhash.fingerprints(docs))[1]["fp"] % (1 << 64) == slow_fingerprint(long)
+    assert one(exact_dedup.verdicts(docs))[1]["keep_id"] == 3 and one(licenses.scan(docs))[1]["licenses"] == "MIT"
+    packed_well(pairs(docs), packing.with_crc32(packing.pack(docs, queries.tokenizer_path("byte_bpe_50k.json"))).collect())
+    assert one(sharding.shard(docs))[1]["size"] == len(long.encode()) + 1
+    model = langid.learn(docs.withColumn("doc_id", F.col("doc_id") + 1))
+    assert one(langid.predict(docs, model))[1]["lang_pred"] in model.langs
+    assert [r["doc_id"] for r in resemblance.deduplicate(docs).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_no_local_checkpoint():
     import pathlib
 
