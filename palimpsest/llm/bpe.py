@@ -159,14 +159,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None) -> Data
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str | None = None) -> DataFrame:
-    """encoded (doc_id, ids) with a column decoded: the bytes of its ids. Null ids count as none; unknown ids raise."""
+    """encoded (doc_id, ids) with a column decoded: the bytes of its ids, of any number. A null array counts as an empty one,
+    null or unknown ids raise; null and repeated doc_ids stay rows of their own, and an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_A_BATCH):
                 part = batch.slice(at, ROWS_A_BATCH)
-                texts = [own.decode(x.as_py() or []) for x in part.column(1)]
+                lists = part.column(1).fill_null([])
+                ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy()  # raises where an id is null
+                texts = [own.decode(flat[lo:hi].tolist()) for lo, hi in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return on_workers(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

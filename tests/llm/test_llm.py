@@ -489,6 +489,8 @@ def test_bpe(spark, docs, codec):
     got = sorted((str(r["doc_id"]), tuple(r["ids"]), bytes(r["decoded"])) for r in bpe.decode(bpe.encode(docs, path), path).collect())
     assert got == sorted((str(d), tuple(codec.core.encode_ordinary(t)), t.encode()) for d, t in pairs(docs))
     assert bpe.encode(empty(spark), path).count() == 0
+    odd = spark.createDataFrame([(1, [262, 50]), (2, None), (2, []), (None, [0])], "doc_id long, ids array<int>")
+    assert [bytes(r["decoded"]) for r in bpe.decode(odd.coalesce(1), path).collect()] == [codec.decode([262, 50]), b"", b"", codec.decode([0])]
     run = "ab" * 50_000
     assert codec.encode(run) == codec.core.encode_ordinary(run)
 
