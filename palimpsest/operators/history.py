@@ -355,7 +355,10 @@ def _fold(steps: DataFrame, out: str, horizon: int = RECEIPTS, digests: bool = F
         while part := list(islice(found, ROWS_AT_ONCE)):
             yield pa.RecordBatch.from_pylist(part, schema=arrow)
 
-    return on_workers(steps).repartition("history_id").sortWithinPartitions("history_id", "phase", "seq").mapInArrow(run, schema)
+    # A window's needs bind every later change of the plan. A repartition() is dropped where the parts of a union seem to be
+    # dealt out by history already, and these may then be dealt out anew, each its own way.
+    place = F.row_number().over(W.partitionBy("history_id").orderBy("phase", "seq"))
+    return on_workers(steps).withColumn("place_", place).mapInArrow(run, schema)
 
 
 def replay(log: DataFrame, digests: bool = True, horizon: int = RECEIPTS, pieces: bool = True) -> DataFrame:
