@@ -433,10 +433,11 @@ def bound_histories(requests: DataFrame, binding: str = "binding", seq: str = "s
 
 
 def expire_outcomes(expires: DataFrame, versions: DataFrame) -> DataFrame:
-    """expires (seq, target_seq) with outcome Expired, AlreadyExpired or UnknownVersion; versions: (version_seq)."""
-    known = versions.select(F.col("version_seq").alias("target_seq"), F.lit(True).alias("known"))
-    nth = F.row_number().over(W.partitionBy("target_seq").orderBy("seq"))
-    return expires.join(known, "target_seq", "left").withColumn("nth", nth).withColumn("outcome", F.when(F.col("known").isNull(), "UnknownVersion").when(F.col("nth") == 1, "Expired").otherwise("AlreadyExpired")).drop("nth", "known")
+    """expires (history_id, seq, target_seq) with outcome Expired, AlreadyExpired or UnknownVersion; versions: (history_id,
+    version_seq)."""
+    known = versions.select("history_id", F.col("version_seq").alias("target_seq"), F.lit(True).alias("known"))
+    nth = F.row_number().over(W.partitionBy("history_id", "target_seq").orderBy("seq"))
+    return expires.join(known, ["history_id", "target_seq"], "left").withColumn("nth", nth).withColumn("outcome", F.when(F.col("known").isNull(), "UnknownVersion").when(F.col("nth") == 1, "Expired").otherwise("AlreadyExpired")).drop("nth", "known")
 
 
 def with_lifecycle(outcomes: DataFrame) -> DataFrame:

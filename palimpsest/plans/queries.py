@@ -555,7 +555,7 @@ def append_len(spark, sf_dir):
 FROM op o LEFT JOIN v ON v.h = o.h AND v.rn = o.up WHERE o.m = 5""")
 def expire_outcomes(spark, sf_dir):
     ops = operations(spark, sf_dir).filter("op = 'expire'").select("history_id", "seq", "target_seq")
-    return history.expire_outcomes(ops, _versions(spark, sf_dir).select("version_seq")).select("history_id", "seq", "outcome")
+    return history.expire_outcomes(ops, _versions(spark, sf_dir).select("history_id", "version_seq")).select("history_id", "seq", "outcome")
 
 
 @query(OPS + """SELECT leaf.h AS history_id, count(*) AS leaves_before, count(live.seq) AS leaves_after, count(*) - count(live.seq) AS leaves_reclaimed, CAST(sum(size) AS BIGINT) AS bytes_before, CAST(coalesce(sum(size) FILTER (WHERE live.seq IS NOT NULL), 0) AS BIGINT) AS bytes_after

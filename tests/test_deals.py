@@ -2,6 +2,7 @@
 
 import pytest
 
+from palimpsest.operators import history
 from palimpsest.plans import queries as plans
 from test_queries import SF, duck, normal  # noqa: F401
 
@@ -15,10 +16,17 @@ def apart(spark):
     spark.conf.unset(size)
 
 
-@pytest.mark.parametrize("name", ["append_len"])
+@pytest.mark.parametrize("name", ["append_len", "expire_outcomes"])
 def test_log_of_parts(apart, duck, name):  # noqa: F811
     got = plans.QUERIES[name](apart, SF)
     columns = sorted(got.columns)
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({plans.ORACLES[name]})").fetchall()
     rows = lambda r: sorted((tuple(map(normal, x)) for x in r), key=repr)
     assert rows(got.select(columns).collect()) == rows(want)
+
+
+def test_expiries_of_histories_with_the_same_seqs(spark):
+    expires = spark.createDataFrame([(1, 9, 3), (2, 9, 3), (2, 11, 3), (3, 9, 3)], "history_id long, seq long, target_seq long")
+    versions = spark.createDataFrame([(1, 3), (2, 3)], "history_id long, version_seq long")
+    got = history.expire_outcomes(expires, versions).select("history_id", "seq", "outcome").collect()
+    assert sorted(map(tuple, got)) == [(1, 9, "Expired"), (2, 9, "Expired"), (2, 11, "AlreadyExpired"), (3, 9, "UnknownVersion")]
