@@ -16,7 +16,7 @@ def apart(spark):
     spark.conf.unset(size)
 
 
-@pytest.mark.parametrize("name", ["append_len", "expire_outcomes", "fork_len", "gc_reachable", "image_export", "repack_offsets", "splice_replay", "version_ids", "version_read", "version_verify"])
+@pytest.mark.parametrize("name", ["append_len", "expire_outcomes", "fork_len", "gc_reachable", "image_export", "repack_offsets", "splice_replay", "version_ids", "version_read", "version_verify", "work_counters"])
 def test_log_of_parts(apart, duck, name):  # noqa: F811
     got = plans.QUERIES[name](apart, SF)
     columns = sorted(got.columns)
