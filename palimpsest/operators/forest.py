@@ -20,8 +20,8 @@ def fold_to_root(nodes: DataFrame, value: Column, combine: Callable[[Column, Col
 
     combine(earlier, later) is associative. A parent that isn't there ends the way, as a root does; cycles end after as
     many rounds as the largest thread could need."""
-    most = nodes.groupBy("thread").count().agg(F.max("count")).first()[0] or 0
     now = written(nodes.select("thread", "node", F.col("parent").alias("up"), value.alias("value")))
+    most = now.groupBy("thread").count().agg(F.max("count")).first()[0] or 0
     for _ in range(max(0, (most - 1).bit_length())):
         above = now.select("thread", F.col("node").alias("up"), F.col("up").alias("further"), F.col("value").alias("earlier"), F.lit(True).alias("there"))
         moved = now.join(above, ["thread", "up"], "left").select(
@@ -40,7 +40,10 @@ def depths(nodes: DataFrame) -> DataFrame:
 
 
 def geometry(nodes: DataFrame, length: str) -> DataFrame:
-    """One row of counts; length names the bytes a node appends. State length: 15 + all bytes + commas."""
+    """One row of counts; length names the bytes a node appends. State length: 15 + all bytes + commas.
+
+    nodes are written first: whatever makes them would otherwise run again, and hold its memory, in the tasks that count."""
+    nodes = written(nodes.select("thread", "node", "parent", length))
     both = lambda a, b: F.struct((a["d"] + b["d"]).alias("d"), (a["l"] + b["l"]).alias("l"))
     deep = fold_to_root(nodes, F.struct(F.lit(1).cast("long").alias("d"), F.col(length).cast("long").alias("l")), both)
     way = deep.agg(F.max("value.d").alias("maximum_depth"), F.sum(15 + F.col("value.l") + F.col("value.d") - 1).alias("logical_state_bytes"))

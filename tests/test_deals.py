@@ -1,8 +1,8 @@
-"""Logs whose parts are dealt out in different ways, as those of large tables are, against SQL."""
+"""What goes wrong on large tables alone: logs whose parts are dealt out in different ways, inputs made again and again."""
 
 import pytest
 
-from palimpsest.operators import history
+from palimpsest.operators import forest, history
 from palimpsest.plans import queries as plans
 from test_queries import SF, duck, normal  # noqa: F401
 
@@ -30,3 +30,17 @@ def test_expiries_of_histories_with_the_same_seqs(spark):
     versions = spark.createDataFrame([(1, 3), (2, 3)], "history_id long, version_seq long")
     got = history.expire_outcomes(expires, versions).select("history_id", "seq", "outcome").collect()
     assert sorted(map(tuple, got)) == [(1, 9, "Expired"), (2, 9, "Expired"), (2, 11, "AlreadyExpired"), (3, 9, "UnknownVersion")]
+
+
+def test_geometry_makes_its_nodes_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    chain = spark.createDataFrame([(1, n, n - 1 if n > 1 else None, 5) for n in range(1, 10)], "thread long, node long, parent long, bytes long")
+    got = forest.geometry(chain.mapInArrow(count, chain.schema), "bytes").first()
+    assert (got["maximum_depth"], got["checkpoint_count"], got["maximum_fanout"], got["logical_state_bytes"]) == (9, 9, 1, 9 * 15 + 5 * 45 + 36)
+    assert made.value == 9
